@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, packing, quality, substring_dedup, training_order, url_filter
+from . import chat_format, decontamination, html_extract, packing, quality, substring_dedup, training_order, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(table(spark, sf_dir, "pages"))
+
+
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.contents(training_order.shards(table(spark, sf_dir, "documents")))
 
