@@ -6,14 +6,14 @@ class. Steps:
 1. A count-min sketch over all texts tells shingles that may occur in two texts from those that cannot. The
    second kind can be in no overlap: it counts towards a set's size and prefix, and is otherwise left out. A
    class whose prefix holds no other shingle joins nothing and goes no further, which is most of them.
-2. Order: shingles of one text first, then by hash. Classes with identical prefix (its shared part) and
+2. Order: shingles of one text first, then those that the sketch doesn't take for frequent, then by hash. Classes with identical prefix (its shared part) and
    size collapse into one group. Groups are posted under their prefix shingles.
 3. First round: within each group and each posting list, members are verified against leaders (the class
    with the smallest share of unshared shingles; lists are salted, so leaders are many where lists are long). The
    links found are contracted to components.
 4. Second round: the lists that still hold two components are compared in blocks of bounded size: group pairs are
    filtered by size, expanded to members of different components, and filtered by an upper bound of the
-   overlap (counts of 64 hash ranges). What is left is verified. Together with the first round, every
+   overlap (counts of 128 hash ranges). What is left is verified. Together with the first round, every
    pair of classes that can reach the threshold is either verified or already connected.
 
 join_pairs() runs the second round with every class a component of its own: it returns all links between
@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +42,12 @@ from . import kernels as K
 from .staging import cut, fresh, staged, text_bytes
 
 SIZE = 5
-SALTS = 32
+SALTS = 8
 BLOCK = 512
-RANGES = 64
+RANGES = 128
+OFTEN = 8
+#: Prefixes of up to so many shingles travel along, so that a pair is compared under its first common one only.
+SHORT = 64
 MADE = ("n_shingles", "component_id")
 
 
@@ -93,7 +96,7 @@ def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int)
             found = shingle_sets(piece.column(1), size)
             yield np.concatenate(found) if found else np.zeros(0, K.U64)
 
-    flags = docs.sparkSession.sparkContext.broadcast(sketch.build(own, keys, sketch.bits_for(total // 6)))
+    flags = docs.sparkSession.sparkContext.broadcast(sketch.build(own, keys, sketch.bits_for(total // 6), OFTEN))
 
     def run(batches):
         told: set[bytes] = set()
@@ -105,6 +108,8 @@ def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int)
             for s in found:
                 shared = s[twice[at : at + len(s)]]
                 at += len(s)
+                if len(shared):
+                    shared = shared[np.argsort(sketch.frequent(flags.value, shared), kind="stable")]
                 n, key = len(s), set_key(s) if len(s) else None
                 left = prefix_size(n, percent) - (n - len(shared))
                 if n and left > 0 and key not in told:
@@ -121,95 +126,116 @@ def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int)
 
 
 def first_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of the first round: key and leader, within groups and within posting lists."""
-    rank = F.struct((F.lit(1.0) - F.col("shared") / F.col("n")).alias("alone"), F.col("key"))
-    salted = classes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    tops = salted.groupBy("family", "salt").agg(F.min_by("key", rank).alias("leader"), F.min(rank).alias("rank"), F.first("n").alias("n"), F.first("top").alias("top"))
-    in_groups = salted.select("key", "family", "salt").join(tops.select("family", "salt", "leader"), ["family", "salt"]).select(F.col("key").alias("a"), F.col("leader").alias("b"))
-    groups = tops.groupBy("family").agg(F.min_by("leader", "rank").alias("leader"), F.min("rank").alias("rank"), F.first("top").alias("top"))
-    among_tops = tops.select("family", F.col("leader").alias("a")).join(groups.select("family", F.col("leader").alias("b")), "family").select("a", "b")
-    posted = groups.select("leader", "rank", F.explode("top").alias("token")).withColumn("salt", F.pmod(F.xxhash64("leader"), F.lit(SALTS)))
-    lists = posted.groupBy("token", "salt").agg(F.min_by("leader", "rank").alias("head"), F.min("rank").alias("rank"))
-    heads = lists.groupBy("token").agg(F.min_by("head", "rank").alias("b"))
-    in_lists = posted.join(lists.select("token", "salt", "head"), ["token", "salt"]).select(F.col("leader").alias("a"), F.col("head").alias("b"))
-    among_heads = lists.select("token", F.col("head").alias("a")).join(heads, "token").select("a", "b")
-    pairs = in_groups.unionByName(among_tops).unionByName(in_lists).unionByName(among_heads)
-    return pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs of the first round: classes and their leaders, within groups and within posting lists. Rank:
+    share of unshared shingles, then a hash. Lists are salted and their leaders meet once more."""
+
+    def stars(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+        """Pairs of id and leader within each group, and the leader's row of each group."""
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        own = Window.partitionBy(group, "__salt")
+        near = salted.withColumn("b", F.min_by("id", "rank").over(own))
+        tops = near.where(F.col("id") == F.col("b")).drop("b", "__salt")
+        all_ = Window.partitionBy(group)
+        far = tops.withColumn("b", F.min_by("id", "rank").over(all_))
+        pairs = near.select(F.col("id").alias("a"), "b").unionByName(far.select(F.col("id").alias("a"), "b")).where(F.col("a") != F.col("b"))
+        return pairs, far.where(F.col("id") == F.col("b")).drop("b")
+
+    rank = F.round(F.lit(1.0) - F.col("shared") / F.col("n"), 3) + F.pmod(F.xxhash64("id"), F.lit(2**40)) / F.lit(2.0**52)
+    in_groups, heads = stars(classes.select("family", "id", rank.alias("rank")), "family")
+    posted = heads.select("id", "rank").join(classes.select("id", "top"), "id").select("id", "rank", F.explode("top").alias("token"))
+    in_lists, _ = stars(posted, "token")
+    pairs = in_groups.unionByName(in_lists)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b, n_a, n_b, overlap of the pairs that reach the threshold."""
-    side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"s_{c}"), F.col("own").alias(f"own_{c}"))
-    sizes = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"s_{c}"))
-    able = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(linked(F.least("s_a", "s_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    met = able.join(side("a"), "a").join(side("b"), "b")
+
+    def side(c: str, *more: str) -> DataFrame:
+        return classes.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", *more)))
+
+    able = pairs.join(side("a", "shared"), "a").join(side("b", "shared"), "b").where(linked(F.least("shared_a", "shared_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    met = able.join(side("a", "own"), "a").join(side("b", "own"), "b")
     overlap = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("overlap"))
     return overlap.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent))
 
 
 def block_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes with different labels that share a prefix shingle and may reach the threshold."""
-    posted = classes.select("key", "label", F.explode("top").alias("token"))
+    posted = classes.select("id", "label", F.explode("top").alias("token"))
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    live = posted.select("token", "key").join(lists, "token")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")
+    live = posted.select("token", "id").join(lists, "token")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = live.withColumn("own", own).withColumn("pair", F.explode(others)).select("token", "key", "own", "pair.i", "pair.j")
-    infos = classes.select("key", "label", "n", "shared", "family", "counts")
-    rows = dealt.join(infos, "key").select("token", "i", "j", "own", "key", "label", "n", "shared", "family", "counts")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    dealt = live.withColumn("own", own).withColumn("pair", F.explode(others)).select("token", "id", "own", "pair.i", "pair.j")
+    infos = classes.select("id", "label", "n", "shared", "family", "counts", F.when(F.size("top") <= SHORT, F.col("top")).otherwise(F.array().cast("array<bigint>")).alias("top"))
+    rows = dealt.join(infos, "id").select("token", "i", "j", "own", "id", "label", "n", "shared", "family", "counts", "top")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own = table.column("own").to_numpy()
-        n, shared = table.column("n").to_numpy(), table.column("shared").to_numpy()
-        keys, labels, groups = (table.column(c).to_pylist() for c in ("key", "label", "family"))
-        label = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
-        group = np.unique(np.array([x.hex() for x in groups]), return_inverse=True)[1]
-        counts = np.stack([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
+        token, i, j = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
+        ids, label, n, shared, own = (table.column(c).to_numpy() for c in ("id", "label", "n", "shared", "own"))
+        group = np.unique(table.column("family").to_numpy(), return_inverse=True)[1]
+        packed = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("counts")])
+        # counts are in units that the first four bytes tell, rounded up
+        counts = packed[:, 4:].astype(np.int32) * packed[:, :4].copy().view("<i4")
+        tops = [x.values.to_numpy() for x in table.column("top")]
+        earlier = np.full((len(ids), SHORT), token, np.int64)
+        for k, top in enumerate(tops):
+            top = top[top < token]
+            earlier[k, : len(top)] = top
         least = np.unique(group, return_index=True)[1]
         most = np.zeros(len(least), np.int64)
         np.maximum.at(most, group, shared)
         size = n[least]
         # group pairs by size: what the shared shingles of either allow
         able = (100 + percent) * np.minimum(most[:, None], most[None, :]) >= percent * (size[:, None] + size[None, :])
-        out = []
+        left, right = [], []
         for a in np.flatnonzero(own == i):
             mask = able[group[a], group] & (own == j) & (label != label[a])
             if i == j:
                 mask[: a + 1] = False
             b = np.flatnonzero(mask)
+            b = b[(100 + percent) * np.minimum(shared[a], shared[b]) >= percent * (n[a] + n[b])]
             if not len(b):
                 continue
-            need = percent * (n[a] + n[b])
-            b = b[(100 + percent) * np.minimum(shared[a], shared[b]) >= need]
             bound = np.minimum(counts[b], counts[a]).sum(axis=1, dtype=np.int64)
             b = b[(100 + percent) * bound >= percent * (n[a] + n[b])]
-            out += [(keys[a], keys[k]) if keys[a] < keys[k] else (keys[k], keys[a]) for k in b]
-        return pa.Table.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out]}, schema=schema)
+            before = earlier[a][earlier[a] < token]
+            if len(before) and len(b):
+                b = b[~np.isin(earlier[b], before).any(axis=1)]
+            left += [ids[a]] * len(b)
+            right += ids[b].tolist()
+        x, y = np.array(left, np.int64), np.array(right, np.int64)
+        return pa.Table.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema=schema)
 
-    return rows.groupBy("token", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    return rows.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _counts(batches):
     for batch in batches:
-        at = batch.schema.get_field_index("own")
-        found = [np.bincount((np.array(v, np.int64).view(K.U64) >> K.U64(58)).astype(np.int64), minlength=RANGES).astype(np.int32).tobytes() for v in (x.values.to_numpy() if x.is_valid else () for x in batch.column(at))]
+        found = []
+        for x in batch.column(batch.schema.get_field_index("own")):
+            own = np.bincount((x.values.to_numpy().view(K.U64) >> K.U64(57)).astype(np.int64), minlength=RANGES)
+            unit = max(1, -(-int(own.max()) // 255))
+            found.append(np.array([unit], "<i4").tobytes() + (-(-own // unit)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "counts"])
 
 
 def classes_of(sets: DataFrame) -> DataFrame:
-    """One row a class that may join: key, n, shared, own, family, top (prefix shingles), counts."""
-    found = sets.where("own is not null").dropDuplicates(["key"]).select("key", "n", "shared", "own", "family", F.slice("own", 1, F.col("prefix")).alias("top"))
+    """One row a class that may join: id (any number), key, n, shared, own, family, top (prefix shingles),
+    counts. Written once, which fixes the ids."""
+    found = sets.where("own is not null").dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("id"), "key", "n", "shared", "own", F.xxhash64("family").alias("family"), F.slice("own", 1, F.col("prefix")).alias("top"))
     return staged(found.mapInArrow(_counts, T.StructType([*found.schema.fields, T.StructField("counts", T.BinaryType())])), "classes")
 
 
 def join_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """All links between classes (a, b, n_a, n_b, overlap; a and b are set keys) and the membership
-    (id, n, key); texts of one non-empty set are linked with each other too."""
+    """All links between classes (a, b, n_a, n_b, overlap; a and b are class ids) and the membership (id column,
+    n, class; null for a class that no other can join). Texts of one class are linked with each other too."""
     sets = sets_of(fresh(docs, *MADE), id_column, text, size, percent)
     classes = classes_of(sets)
-    return verified(block_pairs(classes.withColumn("label", F.col("key")), percent), classes, percent), sets.select(id_column, "n", "key")
+    members = sets.select(id_column, "n", "key").join(classes.select("key", F.col("id").alias("class")), "key", "left")
+    return verified(block_pairs(classes.withColumn("label", F.col("id")), percent), classes, percent), members
 
 
 def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = 75) -> DataFrame:
@@ -218,7 +244,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     classes = classes_of(sets)
     first = staged(verified(first_pairs(classes), classes, percent).select("a", "b"), "links")
     labels = graph.components(first)
-    labelled = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    labelled = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     second = verified(block_pairs(labelled, percent), classes, percent).select("a", "b")
     labels = graph.components(first.unionByName(second))
 
@@ -226,7 +252,8 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     salted = texts.where("n_shingles > 0").withColumn("__salt", F.pmod(F.xxhash64(id_column), F.lit(graph.SALTS)))
     parts = salted.groupBy("key", "__salt").agg(F.min(id_column).alias("part"))
     roots = parts.groupBy("key").agg(F.min("part").alias("root"))
-    joined = graph.with_least(labels.withColumnRenamed("node", "key").join(roots, "key"), "label", "root", "least", "key").select("key", "least")
+    keyed = labels.withColumnRenamed("node", "id").join(classes.select("id", "key"), "id").join(roots, "key")
+    joined = graph.with_least(keyed, "label", "root", "least", "id").select("key", "least")
     tops = roots.join(joined, "key", "left").select("key", F.coalesce("least", "root").alias("component_id"))
     down = salted.join(parts.select("key", "__salt").join(tops, "key"), ["key", "__salt"]).select(id_column, "n_shingles", "component_id")
     return down.unionByName(texts.where("n_shingles = 0").select(id_column, "n_shingles", F.col(id_column).alias("component_id")))

@@ -21,7 +21,9 @@ MIN_BITS, MAX_BITS, BLOCK_BITS = 20, 29, 22
 FLUSH = 6_000_000
 
 _PART = pa.schema([("line", pa.int32()), ("block", pa.int32()), ("gaps", pa.binary())])
-_MERGED = pa.schema([("line", pa.int32()), ("block", pa.int32()), ("twice", pa.binary())])
+_MERGED = pa.schema([("line", pa.int32()), ("block", pa.int32()), ("twice", pa.binary()), ("often", pa.binary())])
+#: Cells that share a bit of the optional third array.
+FOLD = 8
 
 
 def bits_for(keys: int) -> int:
@@ -59,8 +61,10 @@ def _parts(keys: list[np.ndarray], bits: int):
             yield line, k, gap_coded(own[lo:hi] & U64((1 << BLOCK_BITS) - 1))
 
 
-def build(df: DataFrame, keys_of, bits: int) -> list[np.ndarray]:
-    """The merged bits, one array a row. keys_of: from record batches, yields arrays of 64-bit keys."""
+def build(df: DataFrame, keys_of, bits: int, often: int = 0) -> list[np.ndarray]:
+    """The merged bits, one array a row. keys_of: from record batches, yields arrays of 64-bit keys. often:
+    if not 0, a third array tells which cells of the first row, folded, were hit so many times (a partition
+    counts for two at most)."""
 
     def sketch(batches):
         held, n = [], 0
@@ -86,15 +90,20 @@ def build(df: DataFrame, keys_of, bits: int) -> list[np.ndarray]:
             values = gap_decoded(coded.as_py())
             first = np.ones(len(values), bool)
             first[1:] = values[1:] != values[:-1]
-            seen[values[~first]] = 2
-            seen[values[first]] = np.minimum(seen[values[first]] + 1, 2)
-        return pa.Table.from_pydict({"line": table.column("line")[:1], "block": table.column("block")[:1], "twice": [np.packbits(seen == 2, bitorder="little").tobytes()]}, schema=_MERGED)
+            for own in (values[first], values[~first]):
+                seen[own] = np.minimum(seen[own], 254) + 1
+        many = np.packbits((seen.reshape(-1, FOLD) >= often).any(axis=1), bitorder="little").tobytes() if often and table.column("line")[0].as_py() == 0 else None
+        return pa.Table.from_pydict({"line": table.column("line")[:1], "block": table.column("block")[:1], "twice": [np.packbits(seen >= 2, bitorder="little").tobytes()], "often": [many]}, schema=_MERGED)
 
-    merged = df.mapInArrow(sketch, "line int, block int, gaps binary").groupBy("line", "block").applyInArrow(merge, "line int, block int, twice binary")
+    merged = df.mapInArrow(sketch, "line int, block int, gaps binary").groupBy("line", "block").applyInArrow(merge, "line int, block int, twice binary, often binary")
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in ROWS]
+    if often:
+        out.append(np.zeros((1 << bits) // 8 // FOLD, np.uint8))
     step = (1 << block_bits) // 8
     for row in merged.toLocalIterator():
         out[row.line][row.block * step : (row.block + 1) * step] = np.frombuffer(row.twice, np.uint8)
+        if row.often is not None:
+            out[-1][row.block * step // FOLD : (row.block + 1) * step // FOLD] = np.frombuffer(row.often, np.uint8)
     return out
 
 
@@ -102,7 +111,16 @@ def repeated(flags: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     """Which keys are estimated to occur twice or more."""
     bits = int(np.log2(len(flags[0]) * 8))
     out = np.ones(len(keys), bool)
-    for line, row in enumerate(flags):
-        cell = cells(keys, line, bits)
-        out &= (row[cell >> U64(3)] >> (cell & U64(7)).astype(np.uint8)) & 1 == 1
+    for line in range(len(ROWS)):
+        out &= _bit(flags[line], cells(keys, line, bits))
     return out
+
+
+def frequent(flags: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Which keys are estimated to occur often: a function of the key alone, for orders."""
+    bits = int(np.log2(len(flags[0]) * 8))
+    return _bit(flags[len(ROWS)], cells(keys, 0, bits) // U64(FOLD))
+
+
+def _bit(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (row[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
