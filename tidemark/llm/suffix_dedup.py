@@ -37,40 +37,57 @@ from . import sketch
 from .kernels import U64
 from .staging import buckets_for, cut, fresh, text_bytes
 
+MADE = ("n_bytes", "n_removed", "n_spans", "kept", "spans")
+
 SIZE = 200
 W, P, NEAR = 16, 24, 100
 SLICE = 2 << 20
-MADE = ("n_bytes", "n_removed", "n_spans", "kept", "spans")
 
 _rng = np.random.default_rng(20_251_126)
 _TABLES = [_rng.integers(0, 2**64, 256, np.uint64) for _ in range(2)]
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U64)
-    have = 1
-    while have < n:
-        step = min(have, n - have)
-        out[have : have + step] = out[:step] * U64(pow(base, have, 2**64))
-        have += step
-    return out
+    """The first n powers of base or more; kept for the next batch of texts."""
+    have = _known.get(base)
+    if have is None or len(have) < n:
+        out = np.ones(max(n, SLICE + SLICE // 8), U64)
+        done = 1
+        while done < len(out):
+            step = min(done, len(out) - done)
+            out[done : done + step] = out[:step] * U64(pow(base, done, 2**64))
+            done += step
+        _known[base] = have = out
+    return have
+
+
+def _sums(data: np.ndarray, which: int) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, U64)
+    own = _TABLES[which][data]
+    own *= _powers(_BASES[which], len(data))[: len(data)]
+    np.cumsum(own, out=sums[1:])
+    return sums
 
 
 class Hashes:
-    """Two 64-bit hashes of any stretch of the bytes, by prefix sums."""
+    """Two 64-bit hashes of any stretch of the bytes, by prefix sums; the second is made when first needed."""
 
     def __init__(self, data: np.ndarray):
-        self.sums, self.inverse = [], []
-        for table, base in zip(_TABLES, _BASES):
-            sums = np.zeros(len(data) + 1, U64)
-            np.cumsum(table[data] * _powers(base, len(data)), out=sums[1:])
-            self.sums.append(sums)
-            self.inverse.append(_powers(pow(base, -1, 2**64), len(data) + 1))
+        self.data, self.sums = data, [_sums(data, 0), None]
 
     def of(self, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
-        sums = self.sums[which]
-        return K.mix((sums[hi] - sums[lo]) * self.inverse[which][lo] + (hi - lo).astype(U64) * U64(0x9E3779B97F4A7C15))
+        if self.sums[which] is None:
+            self.sums[which] = _sums(self.data, which)
+        sums, inverse = self.sums[which], _powers(pow(_BASES[which], -1, 2**64), len(self.data) + 1)
+        out = sums[hi]
+        out -= sums[lo]
+        out *= inverse[lo]
+        out += (hi - lo).astype(U64) * U64(0x9E3779B97F4A7C15)
+        return K.mix(out)
 
     def pair(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.of(lo, hi), (self.of(lo, hi, 1) >> U64(32)).astype(np.uint32)
@@ -223,44 +240,43 @@ def told(answers: pa.Table, kind: int, a: np.ndarray, shard_bits: int) -> np.nda
 
 
 class Bucket:
-    """One bucket's cells and far windows, numbered over all its texts. Parses are made anew, slice by
-    slice, whenever bytes are needed, so that one slice is in memory at a time."""
+    """One bucket's cells and far windows, numbered over all its texts; parsed slice by slice, once.
+    windows: whether to hash the windows of all cells too."""
 
-    def __init__(self, table: pa.Table, text: str, size: int, flags):
-        self.table, self.text, self.size, self.flags = table, text, size, flags
-        units, contexts = [], []
-        for _, parse in self.parses():
+    def __init__(self, table: pa.Table, text: str, size: int, flags, windows: bool):
+        self.slices = []
+        units, contexts, own, far = ([] for _ in range(4))
+        for piece, parse in parses(table, text, size, flags):
             units.append(parse.units())
             contexts.append(parse.contexts())
+            if windows:
+                starts, cell = spread(parse.lo, parse.hi)
+                own.append((cell, starts, *parse.hash.pair(starts, starts + size)))
+                far.append((parse.far, *parse.far_hashes()))
+                self.slices.append((piece, parse.data, parse.at, parse.lo, parse.hi))
         empty = [(np.zeros(0, U64), np.zeros(0, np.uint32))]
         self.unit, self.context = (counted(*map(np.concatenate, zip(*(x or empty)))) for x in (units, contexts))
+        self.own, self.far = own, far
 
-    def parses(self):
-        return parses(self.table, self.text, self.size, self.flags)
-
-    def settle(self, answers: pa.Table, shard_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each cell: is it settled, and are its windows to be compared one by one."""
+    def settle(self, answers: pa.Table, shard_bits: int) -> np.ndarray:
+        """For each cell: is it settled. From then on, only the windows to be compared one by one are held."""
         unit, context = told(answers, UNIT, self.unit[0], shard_bits), told(answers, CONTEXT, self.context[0], shard_bits)
         n_unit, n_context = np.abs(unit)[self.unit[4]], context[self.context[4]]
         settled = n_unit > 1
         first = np.zeros(len(settled), bool)
         first[self.unit[3]] = unit > 0
-        return settled, np.where(settled, first & (n_context > n_unit), n_context > 1)
-
-    def windows(self, compared: np.ndarray):
-        """The windows compared one by one: counted(), over the slices in order."""
-        a, b, at = [], [], 0
-        for _, parse in self.parses():
-            starts = self.starts(parse, compared[at : at + len(parse.lo)])
-            at += len(parse.lo)
-            x, y = parse.hash.pair(starts, starts + self.size)
-            a.append(x)
-            b.append(y)
-        return counted(np.concatenate(a) if a else np.zeros(0, U64), np.concatenate(b) if b else np.zeros(0, np.uint32))
-
-    @staticmethod
-    def starts(parse: Parse, compared: np.ndarray) -> np.ndarray:
-        return np.concatenate([spread(parse.lo[compared], parse.hi[compared])[0], parse.far])
+        compared = np.where(settled, first & (n_context > n_unit), n_context > 1)
+        at = 0
+        self.starts, a, b = [], [], []
+        for (cell, starts, x, y), (far, far_x, far_y), (*_, lo, _) in zip(self.own, self.far, self.slices):
+            keep = compared[at : at + len(lo)][cell]
+            at += len(lo)
+            self.starts.append(np.concatenate([starts[keep], far]))
+            a += [x[keep], far_x]
+            b += [y[keep], far_y]
+        self.own = self.far = None
+        self.windows = counted(np.concatenate(a) if a else np.zeros(0, U64), np.concatenate(b) if b else np.zeros(0, np.uint32))
+        return settled
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, spans: bool = True) -> DataFrame:
@@ -283,15 +299,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_column), F.col(text)), F.lit(n_buckets)))
 
     def send(table: pa.Table) -> pa.Table:
-        own = Bucket(table, text, size, shared.value)
+        own = Bucket(table, text, size, shared.value, False)
         return packets(table.column("__bucket")[0].as_py(), shard_bits, {UNIT: own.unit[:3], CONTEXT: own.context[:3]})
 
     def send_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _PACKET.empty_table()
-        own = Bucket(table, text, size, shared.value)
-        _, compared = own.settle(answers, shard_bits)
-        return packets(table.column("__bucket")[0].as_py(), shard_bits, {WINDOW: own.windows(compared)[:3]})
+        own = Bucket(table, text, size, shared.value, True)
+        own.settle(answers, shard_bits)
+        return packets(table.column("__bucket")[0].as_py(), shard_bits, {WINDOW: own.windows[:3]})
 
     names = docs.columns
     out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in MADE[:3]), T.StructField("kept", T.BinaryType())])
@@ -299,22 +315,20 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         out = out.add("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Bucket(table, text, size, shared.value)
-        settled, compared = own.settle(answers, shard_bits)
-        a, _, _, _, number = own.windows(compared)
+        own = Bucket(table, text, size, shared.value, True)
+        settled = own.settle(answers, shard_bits)
+        a, _, _, _, number = own.windows
         repeated = told(answers, WINDOW, a, shard_bits)[number] if len(a) else np.zeros(0, bool)
         cell, window, made = 0, 0, []
-        for piece, parse in own.parses():
-            k = slice(cell, cell + len(parse.lo))
-            cell = k.stop
-            starts = own.starts(parse, compared[k])
+        for (piece, data, at, lo, hi), starts in zip(own.slices, own.starts):
+            known = settled[cell : cell + len(lo)]
+            cell += len(lo)
             hit = starts[repeated[window : window + len(starts)]]
             window += len(starts)
-            step = np.zeros(len(parse.data) + 1, np.int32)
-            lo, hi = parse.lo[settled[k]], parse.hi[settled[k]]
-            np.add.at(step, np.concatenate([hit, lo]), 1)
-            np.add.at(step, np.concatenate([hit + size, hi - 1 + size]), -1)
-            made.append(_cut_out(piece.select(names), parse.data, parse.at, np.cumsum(step[:-1]) > 0, spans))
+            step = np.zeros(len(data) + 1, np.int32)
+            np.add.at(step, np.concatenate([hit, lo[known]]), 1)
+            np.add.at(step, np.concatenate([hit + size, hi[known] - 1 + size]), -1)
+            made.append(_cut_out(piece.select(names), data, at, np.cumsum(step[:-1]) > 0, spans))
         return pa.Table.from_batches(made)
 
     sent = dealt.groupBy("__bucket").applyInArrow(send, _PACKET_DDL)
