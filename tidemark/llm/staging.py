@@ -39,8 +39,8 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
 
 
 def buckets_for(spark: SparkSession, size: int, each: int = 8 << 20) -> int:
-    """How many buckets hold `size` bytes at about `each` bytes, and at least two for each shuffle partition."""
-    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    """How many buckets hold `size` bytes at about `each` bytes, and at least one for each shuffle partition."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def fresh(df: DataFrame, *made: str) -> DataFrame:
@@ -49,7 +49,7 @@ def fresh(df: DataFrame, *made: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def cut(batches, column: str, limit: int = 4 << 20):
+def cut(batches, column: str, limit: int = 2 << 20):
     """The batches in slices of about `limit` bytes of the column's text; one longer text is one slice."""
     for batch in batches:
         if not batch.num_rows:

@@ -96,7 +96,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     shared = spark.sparkContext.broadcast(sketch.build(docs.select(text), keys, bits))
     n_buckets = buckets_for(spark, total)
-    shard_bits = max(1, int(np.ceil(np.log2(n_buckets))))
+    shard_bits = max(1, n_buckets.bit_length() - 1)
     dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_column), F.col(text)), F.lit(n_buckets)))
 
     def send(table: pa.Table) -> pa.Table:
