@@ -62,7 +62,13 @@ def fitted(rows: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.nda
 
 def plan(counts: np.ndarray, room: int) -> dict[str, np.ndarray]:
     """Segments of the ranks of each length: from rank `first` on, `size` pieces, `each` to a sequence, go to
-    sequences from `sequence` on, at `offset`. counts[l]: pieces of length l."""
+    sequences from `sequence` on, at `offset`. counts[l]: pieces of length l. Where patterns can't help (few
+    pieces, or hardly any that complete each other), the greedy packing alone may need fewer sequences."""
+    made = [_planned(counts, room, times) for times in (1.0, 0.0)]
+    return min(made, key=lambda m: m[1])[0]
+
+
+def _planned(counts: np.ndarray, room: int, share: float) -> tuple[dict[str, np.ndarray], int]:
     left = counts.astype(np.int64).copy()
     left[0] = 0
     used = np.zeros_like(left)
@@ -83,7 +89,7 @@ def plan(counts: np.ndarray, room: int) -> dict[str, np.ndarray]:
     if left[room]:
         place([(room, 1)], int(left[room]))
     rows = patterns(np.flatnonzero(left), room)
-    times = np.floor(fitted(rows, left)).astype(np.int64)
+    times = np.floor(share * fitted(rows, left)).astype(np.int64) if share else np.zeros(len(rows), np.int64)
     for k in np.argsort(-times, kind="stable"):
         if times[k] < 1:
             break
@@ -104,7 +110,7 @@ def plan(counts: np.ndarray, room: int) -> dict[str, np.ndarray]:
             own[length] = 0
             free -= length * each
         place(parts, min(int(left[length]) // each for length, each in parts))
-    return {k: np.array(v, np.int64) for k, v in out.items()}
+    return {k: np.array(v, np.int64) for k, v in out.items()}, next_sequence
 
 
 def ranked(pieces: DataFrame, salts: int) -> DataFrame:
