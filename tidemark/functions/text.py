@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The entities that list pages use, in the order that equals one decoding pass.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -38,7 +39,7 @@ def unescape(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_all(s: pd.Series) -> pd.Series:
     """Every HTML5 entity, decoded once; for text that may hold others than ENTITIES."""
     return s.map(html.unescape, na_action="ignore")

@@ -9,6 +9,7 @@ import urllib.parse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def host(url: Column) -> Column:
@@ -101,7 +102,7 @@ def robots_allowed(patterns: tuple[str, ...]):
     """A pandas UDF of url: no decoding stage of its path meets a pattern. What can't be decoded isn't allowed."""
     rules = [re.compile(robots_regex(p), re.S) for p in patterns]
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def allowed(urls: pd.Series) -> pd.Series:
         def one(url):
             try:

@@ -55,9 +55,9 @@ def merge_detail(t):
     return E.merge_detail(rows, _details(t), ["doc_id"], ["content_hash", "hash_version"])
 
 
-@query("detail_enrich", "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'h' || l.quality END AS content_hash, CAST(CASE WHEN l.toxic = 1 THEN 3 WHEN l.doc_id IS NOT NULL THEN 2 END AS INTEGER) AS hash_version FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("detail_enrich", "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'h' || l.quality END AS content_hash, CASE WHEN l.toxic = 1 THEN '3' WHEN l.doc_id IS NOT NULL THEN '2' END AS hash_version FROM documents d LEFT JOIN labels l USING (doc_id)")
 def detail_enrich(t):
-    return E.merge_detail(t("documents").select("doc_id"), _details(t), ["doc_id"], ["content_hash", "hash_version"]).drop("found")
+    return E.merge_detail(t("documents").select("doc_id"), _details(t), ["doc_id"], ["content_hash", "hash_version"]).select("doc_id", "content_hash", F.col("hash_version").cast("string").alias("hash_version"))
 
 
 @query("dependent_lookup", "WITH files AS (SELECT conv_id, turn FROM conversations WHERE turn > 0 AND conv_id % 4 <> 0) SELECT w.conv_id, CASE WHEN w.conv_id % 5 = 0 THEN 'failed' WHEN f.turn IS NOT NULL THEN 'listed' WHEN w.conv_id % 8 = 0 THEN 'empty' ELSE 'failed' END AS state, CASE WHEN w.conv_id % 5 <> 0 THEN CAST(f.turn AS VARCHAR) END AS file FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0) w LEFT JOIN files f ON w.conv_id = f.conv_id AND w.conv_id % 5 <> 0")

@@ -12,12 +12,13 @@ def _classified(t):
     return D.classify(*snapshots(t("documents")))
 
 
-JOINED = F.array_join("changed_fields", ",").alias("changed_fields")
+def joined():
+    return F.array_join("changed_fields", ",").alias("changed_fields")
 
 
 @query("diff_full", f"{CLASSIFIED} SELECT source, source_id, kind, changed_fields, new_source FROM classified")
 def diff_full(t):
-    return _classified(t).select("source", "source_id", "kind", JOINED, "new_source")
+    return _classified(t).select("source", "source_id", "kind", joined(), "new_source")
 
 
 @query("diff_summary", f"{CLASSIFIED} SELECT kind, new_source, count(*) AS n FROM classified GROUP BY 1, 2")
@@ -27,7 +28,7 @@ def diff_summary(t):
 
 @query("diff_review", f"{CLASSIFIED} SELECT source, source_id, kind, changed_fields, CAST(CASE WHEN kind = 'NEW' AND NOT new_source THEN 1 WHEN kind = 'NEW' THEN 2 WHEN kind = 'CHANGED' THEN 3 ELSE 4 END AS INTEGER) AS rank FROM classified WHERE kind IN ('NEW', 'CHANGED', 'NEEDS_REHASH')")
 def diff_review(t):
-    return D.review(_classified(t)).select("source", "source_id", "kind", JOINED, "rank")
+    return D.review(_classified(t)).select("source", "source_id", "kind", joined(), "rank")
 
 
 @query(
@@ -37,7 +38,7 @@ def diff_review(t):
 def diff_wrapper(t):
     prev, curr = snapshots(t("documents"))
     r = lambda c: F.col(f"record.{c}").alias(f"record_{c}")
-    return D.wrapped(D.classify(prev, curr), prev, curr).select("kind", "diff_status", JOINED, *map(r, ("source", "source_id", "title", "content_hash", "hash_version")))
+    return D.wrapped(D.classify(prev, curr), prev, curr).select("kind", "diff_status", joined(), *map(r, ("source", "source_id", "title", "content_hash", "hash_version")))
 
 
 @query("diff_new", f"WITH {SNAPSHOTS} SELECT source, source_id, title FROM curr c WHERE source IN (SELECT source FROM prev) AND NOT EXISTS (SELECT 1 FROM prev p WHERE p.source = c.source AND p.source_id = c.source_id)")
@@ -52,7 +53,7 @@ def diff_gone(t):
 
 @query("diff_changed", f"{CLASSIFIED} SELECT source, source_id, changed_fields FROM classified WHERE kind = 'CHANGED'")
 def diff_changed(t):
-    return D.changed(*snapshots(t("documents"))).select("source", "source_id", JOINED)
+    return D.changed(*snapshots(t("documents"))).select("source", "source_id", joined())
 
 
 @query("common_sources", f"WITH {SNAPSHOTS} SELECT source FROM prev INTERSECT SELECT source FROM curr")

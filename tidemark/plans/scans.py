@@ -105,11 +105,11 @@ def _payloads(events):
 
 @query(
     "api_envelope",
-    "SELECT event_id, event_id % 7 < 4 AS known, CAST(CASE event_id % 7 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 END AS INTEGER) AS n_records, CASE event_id % 7 WHEN 0 THEN event_id WHEN 1 THEN 12 WHEN 2 THEN 5 END AS total FROM events",
+    "SELECT event_id, event_id % 7 < 4 AS known, CASE event_id % 7 WHEN 0 THEN '2' WHEN 1 THEN '1' WHEN 2 THEN '1' WHEN 3 THEN '1' END AS n_records, CASE event_id % 7 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN '12' WHEN 2 THEN '5' END AS total FROM events",
 )
 def api_envelope(t):
     p = F.col("payload")
-    return _payloads(t("events")).select("event_id", A.container(p).isNotNull().alias("known"), F.when(A.container(p).isNotNull(), F.size(A.records(p))).alias("n_records"), A.total(p).alias("total"))
+    return _payloads(t("events")).select("event_id", A.container(p).isNotNull().alias("known"), F.when(A.container(p).isNotNull(), F.size(A.records(p)).cast("string")).alias("n_records"), A.total(p).cast("string").alias("total"))
 
 
 _RUNS = """

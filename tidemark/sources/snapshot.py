@@ -6,6 +6,7 @@ import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -45,8 +46,8 @@ def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     files = [f"{folder}/{n}" for n in names if n.endswith(".jsonl") and not any(fnmatch.fnmatch(n, a) for a in ARTEFACTS)]
     if not files:
         raise SnapshotError(f"no row files in {folder}")
-    raw = spark.read.schema(schemas.RAW.add("_broken", "string")).option("columnNameOfCorruptRecord", "_broken").json(files).cache()
-    if broken := raw.where("_broken is not null").select("_broken").head(1):
+    raw = spark.read.schema(T.StructType([*schemas.RAW.fields, T.StructField("_broken", T.StringType())])).option("columnNameOfCorruptRecord", "_broken").json(files)
+    if broken := raw.where("_broken is not null").select("_broken", "source").head(1):
         raise SnapshotError(f"broken line in {folder}: {broken[0][0][:120]}")
     rows = unify(raw.drop("_broken"))
     if twice := duplicate_keys(rows, "source", "source_id").head(1):
