@@ -264,7 +264,8 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     for each id."""
     found = components(docs, id_column, text, size, percent).where(F.col(id_column).eqNullSafe(F.col("component_id"))).groupBy(id_column).count()
     kept = staged(found, "kept")
-    out = docs.join(kept.select(id_column), id_column, "left_semi")
+    # the ids that stay are as many as documents: they are never broadcast, at any size
+    out = docs.join(kept.select(id_column).hint("shuffle_hash"), id_column, "left_semi")
     return out.dropDuplicates([id_column]) if kept.where("count > 1").limit(1).count() else out
 
 

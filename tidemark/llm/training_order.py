@@ -27,6 +27,7 @@ from .staging import staged
 
 KEY = 20_251_126
 PER_SHARD = 1024
+FEW_FILES = 20_000
 HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<i4")])
 NULL = -(2**63)
 ROUNDS = 6
@@ -54,21 +55,25 @@ def stride(length: int) -> int:
     return HEAD.itemsize + 2 * length
 
 
-def shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text", key: int = KEY, per_shard: int = PER_SHARD, vocabulary: str = tokens.VOCABULARY, end: int | None = tokens.END, length: int = tokens.LENGTH) -> DataFrame:
+def shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text", key: int = KEY, per_shard: int = PER_SHARD, vocabulary: str = tokens.VOCABULARY, end: int | None = tokens.END, length: int = tokens.LENGTH, few_files: int = FEW_FILES) -> DataFrame:
     """One row a shard: shard, first_slot, n_slots, payload."""
     cast = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = staged(cast.mapInArrow(tokens.pieces("doc_id", "text", vocabulary, end, length, True), tokens.PIECE_DDL + ", ids binary"), "sequences")
     rows = table.select("doc_id", "piece", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line"))
-    # one number for each written file reaches the driver
+    # one name and number for each written file reaches the driver; the names go back to tasks while they are few
     found = sorted((r["file"], r["count"]) for r in rows.groupBy("file").count().toLocalIterator())
     ends = np.cumsum([n for _, n in found])
     total = int(ends[-1]) if found else 0
-    before = dict(zip([f for f, _ in found], [0, *ends[:-1].tolist()])) if found else {}
+    skips = list(zip([f for f, _ in found], [0, *ends[:-1].tolist()]))
+    few = len(found) <= few_files
+    before = dict(skips) if few else {}
+    if not few:
+        rows = rows.join(docs.sparkSession.createDataFrame(skips, "file string, skip long"), "file")
 
     def number(batches):
         for batch in batches:
             at = {n: k for k, n in enumerate(batch.schema.names)}
-            skip = np.array([before[f] for f in batch.column(at["file"]).to_pylist()], np.int64)
+            skip = np.array([before[f] for f in batch.column(at["file"]).to_pylist()], np.int64) if few else batch.column(at["skip"]).to_numpy(zero_copy_only=False)
             slot = feistel(skip + batch.column(at["line"]).to_numpy(zero_copy_only=False), total, key)
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), *(batch.column(at[c]) for c in ("doc_id", "piece", "ids"))], names=["shard", "slot", "doc_id", "piece", "ids"])
 
