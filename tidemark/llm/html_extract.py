@@ -289,7 +289,7 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", broadc
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """The contract's columns and the path."""
-    return extract_pages(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars", "path")
+    """The contract's columns."""
+    return extract_pages(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, html_extract, jaccard_join, packing, quality, substring_dedup, suffix_dedup, training_order, url_filter
+from . import chat_format, decontamination, html_extract, jaccard_join, oracles, packing, quality, substring_dedup, suffix_dedup, training_order, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat_format.ORACLE}
+    return {
+        "op1_html_extract": oracles.OP1,
+        "op3_substring_dedup": oracles.OP3,
+        "op5_quality_rules": oracles.OP5,
+        "op7_chat_format": chat_format.ORACLE,
+        "op8_jaccard_join": oracles.OP8,
+        "op10_decontamination": oracles.OP10,
+    }

@@ -42,6 +42,7 @@ MADE = ("n_bytes", "n_removed", "n_spans", "kept", "spans")
 SIZE = 200
 W, P, NEAR = 16, 24, 100
 SLICE = 2 << 20
+MOST = 2**31 - 1
 
 _rng = np.random.default_rng(20_251_126)
 _TABLES = [_rng.integers(0, 2**64, 256, np.uint64) for _ in range(2)]
@@ -198,7 +199,7 @@ def packets(bucket: int, shard_bits: int, kinds: dict[int, tuple]) -> pa.Table:
     for kind, (a, b, times) in kinds.items():
         names, begin = np.unique((a >> U64(64 - shard_bits)).astype(np.int64), return_index=True)
         for k, lo, hi in zip(names.tolist(), begin, [*begin[1:], len(a)]):
-            for name, v in zip(rows, (k, kind, bucket, a[lo:hi].tobytes(), b[lo:hi].tobytes(), np.minimum(times[lo:hi], 2**31 - 1).astype(np.int32).tobytes())):
+            for name, v in zip(rows, (k, kind, bucket, a[lo:hi].tobytes(), b[lo:hi].tobytes(), np.minimum(times[lo:hi], MOST).astype(np.int32).tobytes())):
                 rows[name].append(v)
     return pa.Table.from_pydict(rows, schema=_PACKET)
 
@@ -215,7 +216,7 @@ def answer(table: pa.Table) -> pa.Table:
         own = own[np.argsort(buckets[own], kind="stable")]
         a, b, times = ([c[k] for k in own] for c in columns)
         _, _, total, first, number = counted(np.concatenate(a), np.concatenate(b), np.concatenate(times))
-        got = np.minimum(total, 2**31 - 1).astype(np.int32)[number]
+        got = np.minimum(total, MOST).astype(np.int32)[number]
         if kind == UNIT:
             leads = np.zeros(len(number), bool)
             leads[first] = True
@@ -265,7 +266,8 @@ class Bucket:
         settled = n_unit > 1
         first = np.zeros(len(settled), bool)
         first[self.unit[3]] = unit > 0
-        compared = np.where(settled, first & (n_context > n_unit), n_context > 1)
+        # counts stop at MOST, where equal ones prove nothing
+        compared = np.where(settled, first & ((n_context > n_unit) | (n_context == MOST)), n_context > 1)
         at = 0
         self.starts, a, b = [], [], []
         for (cell, starts, x, y), (far, far_x, far_y), (*_, lo, _) in zip(self.own, self.far, self.slices):
