@@ -23,7 +23,7 @@ def test_query(spark, name):
     sql = queries.oracle_sql().get(name)
     if sql is None:
         source = "pages" if name.startswith("op4") else "documents"
-        assert len(got) >= con.sql(f"SELECT count(*) FROM {source}").fetchone()[0]
+        assert len(got) >= con.sql(f"SELECT count(*) FROM {source}").fetchall()[0][0]
         return
     want = con.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
