@@ -239,3 +239,29 @@ def test_stream_agrees_with_the_batch_rules(spark, tmp_path):
         q.awaitTermination(120)
     got = sorted((r.source_id, r.kind, tuple(r.changed_fields)) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("1", "CHANGED", ("title",)), ("1", "NEW", ()), ("2", "NEEDS_REHASH", ()), ("2", "NEW", ()), ("3", "NEW", ())]
+
+
+def test_landed_scan_and_files(spark, tmp_path):
+    from tidemark.sources import landed
+
+    html, _ = LISTS["smtech"]
+    pages = spark.createDataFrame([("smtech", p, 200, "u", html) for p in (1, 2, 3, 4)], "source string, page_no int, status int, url string, html string")
+    pages.coalesce(1).write.json(f"{tmp_path}/pages")
+    rows_, coverage = landed.scan_source(landed.read_pages(spark, f"{tmp_path}/pages"), "smtech")
+    assert [(r.source_id, r.page_no) for r in rows_.collect()] == [("S1", 3)]
+    assert [(r.stop_reason, r.pages_fetched, r.duplicates, r.status) for r in coverage.collect()] == [("no-new-2pages", 3, 2, "ok")]
+    (tmp_path / "files" / "x").mkdir(parents=True)
+    (tmp_path / "files" / "a.hwp").write_bytes(b"<html>")
+    (tmp_path / "files" / "x" / "b.pdf").write_bytes(b"%PDF-123456")
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.sha256 is None, r.is_html) for r in landed.read_attachments(spark, f"{tmp_path}/files", cap=10).collect()}
+    assert got == {"a.hwp": (6, False, True), "b.pdf": (11, True, None)}
+    assert landed.numeric_ids(spark.createDataFrame([("12",), ("1x",), (None,)], "i string"), "i").count() == 1
+
+
+def test_text_forms(spark):
+    got = spark.createDataFrame([("u", "h", 2, "b")], "u string, h string, v int, b string").select(enrich.detail_text(F.col("u"), F.col("h"), F.col("v"), F.array().cast("array<string>"), F.col("b")).alias("t")).first().t
+    assert got == "u\nCONTENT_HASH: h\nHASH_VERSION: 2\nATTACHMENTS: []\n\nb"
+    side = rows(spark, (1, ("t", "e", "", None, None)))
+    line = diff.report(diff.wrapped(diff.classify(side, side), side, side)).first()
+    assert (line.kind, line.line) == ("UNCHANGED", "[s] t — 마감 e\n    ")
+    assert manifest.outcome(["ok", "partial"]) == 2 and manifest.outcome([]) == 0 and manifest.outcome(["manual", "ok"]) == 3

@@ -116,3 +116,10 @@ def unconfirmed(classified: DataFrame, manifest: DataFrame) -> tuple[DataFrame,
     complete = manifest.where("status = 'ok'").select("source").distinct()
     lost = classified.where(F.col("kind") == GONE)
     return classified.where(F.col("kind") != GONE).unionByName(lost.join(complete, "source", "left_semi")), lost.join(complete, "source", "left_anti")
+
+
+def report(wrapped_rows: DataFrame) -> DataFrame:
+    """Two lines of text a record: source, title and deadline, then the address."""
+    names = wrapped_rows.schema["record"].dataType.names
+    r = lambda c, other: F.coalesce(F.nullif(F.col(f"record.{c}").cast("string"), F.lit("")), F.lit(other)) if c in names else F.lit(other)
+    return wrapped_rows.select("kind", F.format_string("[%s] %s — 마감 %s\n    %s", r("source", ""), r("title", "(no title)"), r("apply_end", "?"), r("url", "")).alias("line"))

@@ -49,3 +49,9 @@ def dependent_lookup(wanted: DataFrame, landed: DataFrame, key: str, page: str,
     files = F.regexp_extract_all(F.col(page), F.lit(pattern), F.lit(1))
     state = F.when(F.col(page).isNull(), "failed").when(F.size(files) > 0, "listed").when(F.contains(F.col(page), F.lit(EMPTY_LOOKUP)), "empty").otherwise("failed")
     return met.select(*wanted.columns, state.alias("state"), F.explode_outer(F.coalesce(files, F.array().cast("array<string>"))).alias("file"))
+
+
+def detail_text(url: Column, digest: Column, version: Column, attachments: Column, body: Column) -> Column:
+    """A detail page as text: a head of four lines (address, hash, version, attachments), a blank one, the body."""
+    head = F.concat_ws("\n", url, F.concat(F.lit("CONTENT_HASH: "), F.coalesce(digest, F.lit(""))), F.concat(F.lit("HASH_VERSION: "), F.coalesce(version.cast("string"), F.lit(""))), F.concat(F.lit("ATTACHMENTS: "), F.coalesce(F.to_json(attachments), F.lit("[]"))))
+    return F.concat(head, F.lit("\n\n"), F.coalesce(body, F.lit("")))

@@ -71,3 +71,11 @@ def carries_over(old: dict[str, str] | None, new: dict[str, str] | None) -> bool
     if not old or not new:
         return False
     return all(any(p.get(a) for a in AXES) for p in (old, new)) and fingerprint(old) == fingerprint(new)
+
+#: Exit codes of run states.
+EXIT_CODES = {"ok": 0, "partial": 2, "manual": 3}
+
+
+def outcome(statuses: list[str]) -> int:
+    """The exit code of a run over several sources: the worst of theirs."""
+    return max((EXIT_CODES[s] for s in statuses if s in EXIT_CODES), default=0)
