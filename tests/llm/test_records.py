@@ -301,6 +301,20 @@ def test_odd_pages_end(source):
     assert isinstance(page.extract(None)[0], str)
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<body class="x"><div class="layout has-sidebar"><main><p>kept</p><div class="sidebar">no</div></main></div>', "kept"),
+        ('<div class="widget-area"><h1>Head</h1><p>kept prose</p></div><div id="comments"><article><p>no</p></article></div>', "Head\nkept prose"),
+        ('<div class="with-banner"><article><p>kept</p></article></div>', "kept"),
+        ('<article><p>kept</p><div class="comments"><article class="comment"><p>no</p></article></div></article>', "kept"),
+        ('<div class="comments"><p>only remarks</p></div>', ""),
+    ],
+)
+def test_names_of_frames(source, text):
+    assert html_extract.Page(source).extract(None)[0] == text
+
+
 def test_votes_go_to_the_host_path(spark):
     votes = spark.createDataFrame([("h", "a", 1.0), ("h", "b", 0.6), ("h", "b", 0.6), ("g", "y", 1.0), ("g", "x", 1.0)], "host string, path string, votes double")
     assert {(r.host, r.path) for r in html_extract.winners(votes).collect()} == {("h", "b"), ("g", "x")}

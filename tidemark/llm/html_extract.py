@@ -63,18 +63,20 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in CLASS.finditer(raw)} if raw else {}
 
 
-def set_apart(tag: str, own: dict[str, str], in_article: bool) -> bool:
+def set_apart(tag: str, own: dict[str, str], in_article: bool) -> int:
+    """2: not of the article by its element or by being hidden; 1: by its names, which may also describe a
+    frame around the article; 0: neither."""
     if tag in APART or (tag == "header" and not in_article):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
+        return 2
+    if tag in ("html", "body", "main"):
+        return 0
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", ""), re.I):
-        return True
+        return 2
     for key in ("class", "id", "role"):
         for name in own.get(key, "").lower().split():
             if name in WORDS or not WORDS.isdisjoint(IDENTITY.findall(name)):
-                return True
-    return False
+                return 1
+    return 0
 
 
 def step(tag: str, own: dict[str, str]) -> str:
@@ -90,8 +92,11 @@ class Page:
         self.parent: list[int] = [-1]
         self.path: list[str] = [""]
         self.tag: list[str] = [""]
-        self.apart: list[bool] = [False]
+        self.apart: list[int] = [0]
+        self.heads: list[int] = []  # containers of main headings
         self._read(source)
+        self._settle()
+        self._drop_link_lists()
 
     def _read(self, source: str) -> None:
         open_: list[tuple[str, int]] = [("", 0)]
@@ -110,7 +115,7 @@ class Page:
 
         def add(piece: str) -> None:
             nonlocal linked
-            if piece and not self.apart[open_[-1][1]]:
+            if piece and self.apart[open_[-1][1]] < 2:
                 held.append(piece)
                 if in_link:
                     linked += len(piece.strip())
@@ -138,6 +143,8 @@ class Page:
             if tag in INLINE:
                 continue
             close()
+            if tag == "h1" and not closing:
+                self.heads.append(open_[-1][1])
             if tag not in CONTAINERS or tag in VOID:
                 continue
             in_link = False
@@ -160,9 +167,9 @@ class Page:
                 continue
             above = open_[-1][1]
             own = attributes(raw)
-            apart = self.apart[above] or set_apart(tag, own, count["article"] + count["main"] > 0)
+            apart = 2 if self.apart[above] == 2 else set_apart(tag, own, count["article"] + count["main"] > 0)
             count[tag] += 1
-            if len(open_) > DEEPEST and apart == self.apart[above]:
+            if len(open_) > DEEPEST and apart in (0, self.apart[above]):
                 open_.append((tag, above))
                 continue
             self.parent.append(above)
@@ -171,7 +178,25 @@ class Page:
             self.apart.append(apart)
             open_.append((tag, len(self.tag) - 1))
         close()
-        self._drop_link_lists()
+
+    def _settle(self) -> None:
+        """Names set a container apart, unless it frames the main element, a main heading or, if no other is left,
+        the article. Blocks of what stays apart go."""
+
+        def below(lifted: set[int]) -> list[bool]:
+            out = [False] * len(self.tag)
+            for k in range(1, len(self.tag)):
+                out[k] = out[self.parent[k]] or (self.apart[k] > 0 and k not in lifted)
+            return out
+
+        lifted: set[int] = set()
+        if 1 in self.apart:
+            core = [*self.heads, *(k for k, tag in enumerate(self.tag) if tag == "main")]
+            lifted = {a for k in core for a in self.chain(k) if self.apart[a] == 1}
+            if not any(tag in ("article", "main") and not gone for tag, gone in zip(self.tag, below(lifted))):
+                lifted |= {a for k, tag in enumerate(self.tag) if tag == "article" and not self.apart[k] for a in self.chain(k) if self.apart[a] == 1}
+        gone = below(lifted)
+        self.blocks = [b for b in self.blocks if not gone[b[2]]]
 
     def _drop_link_lists(self) -> None:
         """Lists that are nearly all links are menus, whatever their names."""
