@@ -61,8 +61,8 @@ def _parts(keys: list[np.ndarray], bits: int):
             yield line, k, gap_coded(own[lo:hi] & U64((1 << BLOCK_BITS) - 1))
 
 
-def build(df: DataFrame, keys_of, bits: int, often: int = 0) -> list[bytes]:
-    """The merged bits, one string a row (which a broadcast unpickles without a second copy). keys_of: from record batches, yields arrays of 64-bit keys. often:
+def build(df: DataFrame, keys_of, bits: int, often: int = 0) -> list[bytearray]:
+    """The merged bits, one byte array a row (which a broadcast unpickles without a second copy). keys_of: from record batches, yields arrays of 64-bit keys. often:
     if not 0, a third array tells which cells of the first row, folded, were hit so many times (a partition
     counts for two at most)."""
 
@@ -96,18 +96,18 @@ def build(df: DataFrame, keys_of, bits: int, often: int = 0) -> list[bytes]:
         return pa.Table.from_pydict({"line": table.column("line")[:1], "block": table.column("block")[:1], "twice": [np.packbits(seen >= 2, bitorder="little").tobytes()], "often": [many]}, schema=_MERGED)
 
     merged = df.mapInArrow(sketch, "line int, block int, gaps binary").groupBy("line", "block").applyInArrow(merge, "line int, block int, twice binary, often binary")
-    out = [np.zeros((1 << bits) // 8, np.uint8) for _ in ROWS]
+    out = [bytearray((1 << bits) // 8) for _ in ROWS]
     if often:
-        out.append(np.zeros((1 << bits) // 8 // FOLD, np.uint8))
+        out.append(bytearray((1 << bits) // 8 // FOLD))
     step = (1 << block_bits) // 8
     for row in merged.toLocalIterator():
-        out[row.line][row.block * step : (row.block + 1) * step] = np.frombuffer(row.twice, np.uint8)
+        out[row.line][row.block * step : (row.block + 1) * step] = row.twice
         if row.often is not None:
-            out[-1][row.block * step // FOLD : (row.block + 1) * step // FOLD] = np.frombuffer(row.often, np.uint8)
-    return [row.tobytes() for row in out]
+            out[-1][row.block * step // FOLD : (row.block + 1) * step // FOLD] = row.often
+    return out
 
 
-def repeated(flags: list[bytes], keys: np.ndarray) -> np.ndarray:
+def repeated(flags: list[bytearray], keys: np.ndarray) -> np.ndarray:
     """Which keys are estimated to occur twice or more."""
     bits = int(np.log2(len(flags[0]) * 8))
     out = np.ones(len(keys), bool)
@@ -116,12 +116,12 @@ def repeated(flags: list[bytes], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent(flags: list[bytes], keys: np.ndarray) -> np.ndarray:
+def frequent(flags: list[bytearray], keys: np.ndarray) -> np.ndarray:
     """Which keys are estimated to occur often: a function of the key alone, for orders."""
     bits = int(np.log2(len(flags[0]) * 8))
     return _bit(flags[len(ROWS)], cells(keys, 0, bits) // U64(FOLD))
 
 
-def _bit(row: bytes, at: np.ndarray) -> np.ndarray:
+def _bit(row: bytearray, at: np.ndarray) -> np.ndarray:
     row = np.frombuffer(row, np.uint8)
     return (row[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
