@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .staging import fresh
 
 WINDOW = 5
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 500
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
