@@ -1,6 +1,7 @@
 """Operators 1, 2, 4, 5, 7, 9 and 10 against brute force, round trips and odd rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -272,6 +273,32 @@ def test_mined_rules(spark):
     assert url_filter.mine(labelled.where("false")) == []
 
 
+def test_every_part_of_a_url_is_mined(spark):
+    url = "http://m.Casino-Win.example.com/a/b7/c/x.html?ref=1&page=2#top"
+    held = spark.createDataFrame([(url,)], "url string").select(url_filter.tokens(F.col("url"))).first()[0]
+    assert {"label=m", "label=casino-win", "word=casino", "word=win", "folder=a", "folder=bN", "folder=c", "folder=x.html", "query=ref", "query=page"} <= set(held)
+    labelled = [(f"http://m.cheap-pills.example.com/en/{k}", True) for k in range(6)] + [(f"http://m.site{k % 9}.example.com/en/{k}", False) for k in range(2000)]
+    rules = url_filter.mine(spark.createDataFrame(labelled, "url string, bad boolean"))
+    asked = spark.createDataFrame([("http://www.pills-now.example.net/fr/1/",), ("http://m.site1.example.com/en/7",)], "url string")
+    assert {r.url[7:10]: r.verdict for r in url_filter.filter_urls(asked, rules, stated=()).collect()} == {"www": "block", "m.s": "allow"}
+
+
+def test_patterns_are_all_and_bounded(spark):
+    baskets = [(["a", "b", "c", "d"], 3, 2), (["b", "c", "d", "e"], 4, 1), (["a", "c", "e"], 5, 3), (["d"], 9, 9), (["f"], 1, 1), ([f"t{k}" for k in range(40)], 3, 3)]
+    got = {tuple(r.own): (r.n, r.bad) for r in url_filter.patterns(spark.createDataFrame(baskets, "items array<string>, n long, bad long"), 2, 3).collect()}
+    sums = {}
+    for items, n, bad in baskets:
+        for own in (o for size in (1, 2, 3) for o in itertools.combinations(sorted(items), size)):
+            sums[own] = tuple(map(sum, zip(sums.get(own, (0, 0)), (n, bad))))
+    assert got == {own: v for own, v in sums.items() if v[1] >= 2}
+
+
+def test_labels_meet_numbers_before_a_slash(spark):
+    urls = ["http://x.org/en/1291/", "http://x.org/en/1291.html", "http://x.org/en/1291?page=2", "http://x.org/1291/en"]
+    labels = spark.createDataFrame([(1291, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r.url for r in url_filter.labelled_pages(spark.createDataFrame([(u,) for u in urls], "url string"), labels).collect()} == set(urls[:3])
+
+
 # 1: HTML extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
