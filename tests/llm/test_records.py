@@ -342,6 +342,31 @@ def test_names_of_frames(source, text):
     assert html_extract.Page(source).extract(None)[0] == text
 
 
+BODY = "<p>" + "A long paragraph of the article's body. " * 40 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "source, first, last",
+    [
+        (f"<div class=post><h1>Title</h1><div class=post-body>{BODY}</div></div>", "Title", "body."),
+        (f"<div class=post><h1><a href=/>Title</a></h1><div class=post-body>{BODY}</div></div>", "Title", "body."),
+        (f"<div class=a><p>Lead one.</p><div class=b><p>Lead two.</p><div class=c>{BODY}</div><div><p>End two.</p></div></div><table><tr><td>End one.</table></div>", "Lead one.", "End one."),
+        (f"<div class=nav><a href=/>Home</a></div><div class=post><h2>Title</h2><div>{BODY}</div></div><footer>no</footer>", "Title", "body."),
+    ],
+)
+def test_nothing_beside_the_body_is_left_out(source, first, last):
+    lines = html_extract.Page(source).extract(None)[0].split("\n")
+    assert lines[0] == first and lines[-1].endswith(last)
+    assert ("Lead two." in lines, "End two." in lines) == ("Lead two" in source, "End two" in source)
+
+
+def test_a_second_template_keeps_all_its_text(spark):
+    pages = [(k, f"http://h.example/{k}", f"<div class=post><h1>T{k}</h1><p>Text of page {k}.</p></div>") for k in range(6)]
+    pages.append((6, "http://h.example/6", "<div class=lead><p>Other lead.</p></div><div class=post><p>One third of it.</p></div><div class=rest><p>The other third.</p></div>"))
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "T0\nText of page 0." and got[6] == "Other lead.\nOne third of it.\nThe other third."
+
+
 def test_votes_go_to_the_host_path(spark):
     votes = spark.createDataFrame([("h", "a", 1.0), ("h", "b", 0.6), ("h", "b", 0.6), ("g", "y", 1.0), ("g", "x", 1.0)], "host string, path string, votes double")
     assert {(r.host, r.path) for r in html_extract.winners(votes).collect()} == {("h", "b"), ("g", "x")}

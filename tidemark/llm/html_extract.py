@@ -1,11 +1,12 @@
 """Main-text extraction with consensus host paths.
 
 1. Each page is parsed once; its containers are scored by the prose they hold (text outside menus, notices,
-   forms and the like, less link text), and the page proposes the path of the container that holds nearly
-   all of it: tags and classes from the root down, with digits generalised.
+   forms and the like, less link text), and the page proposes the path of its article or main element or, without
+   one, of the deepest container that holds all text not set apart: tags and classes from the root down, with
+   digits generalised.
 2. Spark sums the proposals per host and path; each host's best path wins.
-3. Each page is parsed again and the containers on its host's winning path are extracted; a page without
-   such a container, or with little of its prose there, falls back to its own proposal.
+3. Each page is parsed again and the containers on its host's winning path are extracted; a page whose own
+   proposal holds a block that is not among them falls back to that proposal.
 
 The winners travel to the tasks as a broadcast while they are few (BROADCAST_HOSTS, about 100 bytes each);
 beyond that, pages meet them by a join on host and a salt, so that a host with a third of all pages is dealt
@@ -32,10 +33,6 @@ from .staging import cut, fresh
 MADE = ("text", "n_chars", "path")
 BROADCAST_HOSTS = 200_000
 SALTS = 64
-#: A proposal is the deepest container that holds this share of the page's prose.
-HELD = 0.85
-#: A page falls back to its own proposal if the winner's containers hold less of its prose than this.
-LEAST = 0.25
 #: Containers nested deeper than this belong to the one at this depth.
 DEEPEST = 200
 
@@ -56,6 +53,8 @@ WORDS = frozenset(
     "promotion recommended related reply replies respond search share sharing sidebar signup site-header skip social sponsor sponsored subscribe subscription "
     "tags toolbar warning widget widgets".split()
 )
+#: Names of frames whose articles aren't the page's where a main heading stands outside of them.
+REMARKS = frozenset("comment comments replies respond related recommended".split())
 IDENTITY = re.compile(r"[a-z]+")
 
 
@@ -93,6 +92,7 @@ class Page:
         self.path: list[str] = [""]
         self.tag: list[str] = [""]
         self.apart: list[int] = [0]
+        self.remarks: list[bool] = [False]
         self.heads: list[int] = []  # containers of main headings
         self._read(source)
         self._settle()
@@ -176,12 +176,13 @@ class Page:
             self.path.append(f"{self.path[above]}>{step(tag, own)}" if self.path[above] else step(tag, own))
             self.tag.append(tag)
             self.apart.append(apart)
+            self.remarks.append(apart == 1 and not REMARKS.isdisjoint(f"{own.get('class', '')} {own.get('id', '')}".lower().split()))
             open_.append((tag, len(self.tag) - 1))
         close()
 
     def _settle(self) -> None:
         """Names set a container apart, unless it frames the main element, a main heading or, if no other is left,
-        the article. Blocks of what stays apart go."""
+        the article (not one among remarks on what a main heading heads). Blocks of what stays apart go."""
 
         def below(lifted: set[int]) -> list[bool]:
             out = [False] * len(self.tag)
@@ -193,10 +194,14 @@ class Page:
         if 1 in self.apart:
             core = [*self.heads, *(k for k, tag in enumerate(self.tag) if tag == "main")]
             lifted = {a for k in core for a in self.chain(k) if self.apart[a] == 1}
-            if not any(tag in ("article", "main") and not gone for tag, gone in zip(self.tag, below(lifted))):
-                lifted |= {a for k, tag in enumerate(self.tag) if tag == "article" and not self.apart[k] for a in self.chain(k) if self.apart[a] == 1}
+            gone = below(lifted)
+            if not any(tag in ("article", "main") and not out for tag, out in zip(self.tag, gone)):
+                headed = any(not gone[k] for k in self.heads)
+                frames = [self.chain(k) for k, tag in enumerate(self.tag) if tag == "article" and not self.apart[k]]
+                lifted |= {a for chain in frames if not (headed and any(self.remarks[a] and a not in lifted for a in chain)) for a in chain if self.apart[a] == 1}
         gone = below(lifted)
         self.blocks = [b for b in self.blocks if not gone[b[2]]]
+        self.heads = [k for k in self.heads if not gone[k]]
 
     def _drop_link_lists(self) -> None:
         """Lists that are nearly all links are menus, whatever their names."""
@@ -229,35 +234,37 @@ class Page:
                 at = self.parent[at]
         return mass
 
+    def frame(self) -> int:
+        """The deepest container that holds every main heading and every block that isn't a link alone."""
+        common: list[int] | None = None
+        for k in {*self.heads, *(at for text, linked, at in self.blocks if linked < len(text))}:
+            down = self.chain(k)[::-1]
+            common = down if common is None else [a for a, b in zip(common, down) if a == b]
+        return common[-1] if common else 0
+
     def proposal(self) -> tuple[str, float]:
         """Path of the best container, and its share of the page's prose."""
         mass = self.masses()
-        at = 0
         if not mass[0]:
             return "", 0.0
         best = [k for k, tag in enumerate(self.tag) if tag in ("article", "main") and mass[k] >= 0.5 * mass[0]]
-        if best:
-            at = max(best, key=lambda k: (self.tag[k] == "article", mass[k], -k))
-        else:
-            while True:
-                below = [k for k in range(1, len(self.tag)) if self.parent[k] == at and mass[k] >= HELD * mass[at]]
-                if not below:
-                    break
-                at = max(below, key=lambda k: (mass[k], -k))
-                if self.tag[at] in ("article", "main"):
-                    break
+        at = max(best, key=lambda k: (self.tag[k] == "article", mass[k], -k)) if best else self.frame()
         return self.path[at], mass[at] / mass[0]
 
+    def below(self, path: str) -> list[int]:
+        """The blocks below the containers on the path."""
+        return [n for n, b in enumerate(self.blocks) if path == "" or any(self.path[k] == path for k in self.chain(b[2]))]
+
     def extract(self, path: str | None) -> tuple[str, str]:
-        """Text below the containers on the path and the path used: the page's own if the given one holds
-        little."""
-        for own in (path, None):
-            if own is None:
-                own = self.proposal()[0]
-            got = [b for b in self.blocks if own == "" or any(self.path[k] == own for k in self.chain(b[2]))]
-            if own != path or sum(len(b[0]) for b in got) >= LEAST * sum(len(b[0]) for b in self.blocks):
-                break
-        return "\n".join(b[0] for b in got), own
+        """Text below the containers on the path and the path used: the page's own if the given one leaves
+        out a block that the own one holds."""
+        own = self.proposal()[0]
+        got = self.below(own)
+        if path and path != own:
+            found = self.below(path)
+            if set(got) <= set(found):
+                own, got = path, found
+        return "\n".join(self.blocks[n][0] for n in got), own
 
 
 def host_of(url: Column) -> Column:
