@@ -142,6 +142,17 @@ def test_keep_first_leaves_one_of_each_component(docs, rows):
     assert all(n == 1 for i, n in kept.items())
 
 
+def test_keep_first_decides_by_row(spark):
+    unique = lambda k: " ".join(f"u{k}x{j}" for j in range(60))
+    near = lambda k: unique(k).replace(f"u{k}x7 ", "edit ")
+    rows = [(None, unique(0)), (None, unique(1)), (None, near(1)), (None, unique(2)), (2, near(2)), (3, unique(3)), (3, unique(4)), (3, unique(4))]
+    rows += [(4, unique(5)), (4, near(5)), (5, near(3)), (5, unique(6)), (6, ""), (6, None), (6, unique(7)), (None, None), (None, " ")]
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    of = lambda *texts: sum(got[i, t] for i in (None, 2, 3, 4, 5, 6) for t in texts)
+    assert got[None, unique(0)] == got[2, near(2)] == got[3, unique(3)] == got[3, unique(4)] == got[5, unique(6)] == got[6, unique(7)] == 1
+    assert of(unique(1), near(1)) == of(unique(5), near(5)) == of(unique(2), near(2)) == of(unique(3), near(3)) == 1
+    assert got[6, ""] == got[6, None] == got[None, None] == got[None, " "] == 1 and sum(got.values()) == 12
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**40), max_size=200))
 def test_gap_code_round_trip(values):

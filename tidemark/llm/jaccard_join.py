@@ -85,10 +85,16 @@ _SETS = pa.schema([("n", pa.int64()), ("key", pa.binary()), ("shared", pa.int64(
 _SETS_DDL = [T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("shared", T.LongType()), T.StructField("own", T.ArrayType(T.LongType())), T.StructField("prefix", T.IntegerType()), T.StructField("family", T.BinaryType())]
 
 
-def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int) -> DataFrame:
+def mark_of(text: Column) -> Column:
+    """128 bits that tell rows of one id with different texts apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int, marked: bool = False) -> DataFrame:
     """One row a text: id, n, key and, for the first of a class in its task if the class may join, the shared
-    shingles in order, how many of them the prefix holds, and the group of that prefix and size."""
-    own = docs.select(id_column, text)
+    shingles in order, how many of them the prefix holds, and the group of that prefix and size; the mark of
+    the text, if asked for."""
+    own = docs.select(id_column, text, *([mark_of(F.col(text)).alias("__mark")] if marked else []))
     total = text_bytes(own, text)
 
     def keys(batches):
@@ -120,9 +126,9 @@ def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int)
                     row = (n, key, None, None, None, None)
                 for name, v in zip(rows, row):
                     rows[name].append(v)
-            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(rows[f.name], f.type) for f in _SETS)], names=[id_column, *_SETS.names])
+            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(rows[f.name], f.type) for f in _SETS), *piece.columns[2:]], names=[id_column, *_SETS.names, *piece.schema.names[2:]])
 
-    return staged(own.mapInArrow(run, T.StructType([own.schema[id_column], *_SETS_DDL])), "sets")
+    return staged(own.mapInArrow(run, T.StructType([own.schema[id_column], *_SETS_DDL, *own.schema.fields[2:]])), "sets")
 
 
 def first_pairs(classes: DataFrame) -> DataFrame:
@@ -240,7 +246,12 @@ def join_pairs(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
 
 def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = 75) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row."""
-    sets = sets_of(fresh(docs, *MADE), id_column, text, size, percent)
+    return _judged(sets_of(fresh(docs, *MADE), id_column, text, size, percent), id_column, percent).select(id_column, *MADE)
+
+
+def _judged(sets: DataFrame, id_column: str, percent: int) -> DataFrame:
+    """The rows of sets with what components() tells of them, and what tells components of one smallest id
+    apart: label or, for a class that is linked with no other, key. Both are null for a text without words."""
     classes = classes_of(sets)
     first = staged(verified(first_pairs(classes), classes, percent).select("a", "b"), "links")
     labels = graph.components(first)
@@ -248,25 +259,36 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     second = verified(block_pairs(labelled, percent), classes, percent).select("a", "b")
     labels = graph.components(first.unionByName(second))
 
-    texts = sets.select(id_column, F.col("n").alias("n_shingles"), "key")
+    more = [c for c in sets.columns if c == "__mark"]
+    texts = sets.select(id_column, F.col("n").alias("n_shingles"), "key", *more)
     salted = texts.where("n_shingles > 0").withColumn("__salt", F.pmod(F.xxhash64(id_column), F.lit(graph.SALTS)))
     parts = salted.groupBy("key", "__salt").agg(F.min(id_column).alias("part"))
     roots = parts.groupBy("key").agg(F.min("part").alias("root"))
     keyed = labels.withColumnRenamed("node", "id").join(classes.select("id", "key"), "id").join(roots, "key")
-    joined = graph.with_least(keyed, "label", "root", "least", "id").select("key", "least")
-    tops = roots.join(joined, "key", "left").select("key", F.coalesce("least", "root").alias("component_id"))
-    down = salted.join(parts.select("key", "__salt").join(tops, "key"), ["key", "__salt"]).select(id_column, "n_shingles", "component_id")
-    return down.unionByName(texts.where("n_shingles = 0").select(id_column, "n_shingles", F.col(id_column).alias("component_id")))
+    joined = graph.with_least(keyed, "label", "root", "least", "id").select("key", "least", "label")
+    tops = roots.join(joined, "key", "left").select("key", F.coalesce("least", "root").alias("component_id"), "label")
+    down = salted.join(parts.select("key", "__salt").join(tops, "key"), ["key", "__salt"]).select(id_column, *MADE, "label", "key", *more)
+    return down.unionByName(texts.where("n_shingles = 0").select(id_column, "n_shingles", F.col(id_column).alias("component_id"), "key", *more), allowMissingColumns=True)
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = 75) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of rows that repeat an id, one stays
-    for each id. Texts meet the ids that stay in a shuffled join at every size."""
-    found = components(docs, id_column, text, size, percent).where(F.col(id_column).eqNullSafe(F.col("component_id"))).groupBy(id_column).count()
-    kept = staged(found, "kept")
-    # the ids that stay are as many as documents: they are never broadcast, at any size
-    out = docs.join(kept.select(id_column).hint("shuffle_hash"), id_column, "left_semi")
-    return out.dropDuplicates([id_column]) if kept.where("count > 1").limit(1).count() else out
+    """One row of docs for each component, of the smallest id (a null one if the component has no other; of several
+    texts under that id, the one with the smallest mark), and every row without words, which nothing is linked
+    with. Texts meet the ids and marks that stay in a shuffled join at every size."""
+    rows = _judged(sets_of(fresh(docs, *MADE), id_column, text, size, percent, marked=True), id_column, percent)
+    firsts = rows.where((F.col("n_shingles") > 0) & F.col(id_column).eqNullSafe(F.col("component_id")))
+    ones = firsts.groupBy("label", F.when(F.col("label").isNull(), F.col("key")).alias("alone")).agg(F.min(id_column).alias("__id"), F.min("__mark").alias("__of"), F.count(F.lit(1)).alias("count"))
+    empty = rows.where("n_shingles = 0").select(F.col(id_column).alias("__id"), F.col("__mark").alias("__of"), F.lit(0).cast("long").alias("count")).distinct()
+    kept = staged(ones.select("__id", "__of", "count").unionByName(empty), "kept")
+    marked = docs.withColumn("__mark", mark_of(F.col(text)))
+
+    def met(some: DataFrame) -> DataFrame:
+        # the ids that stay are as many as documents: they are never broadcast, at any size
+        return marked.join(some.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of")), "left_semi")
+
+    if not kept.where("count > 1").limit(1).count():
+        return met(kept).drop("__mark")
+    return met(kept.where("count < 2")).unionByName(met(kept.where("count > 1")).dropDuplicates([id_column, "__mark"])).drop("__mark")
 
 
 def digest(docs: DataFrame) -> DataFrame:
