@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -153,12 +155,14 @@ def test_keep_first_decides_by_row(spark):
     assert of(unique(1), near(1)) == of(unique(5), near(5)) == of(unique(2), near(2)) == of(unique(3), near(3)) == 1
     assert got[6, ""] == got[6, None] == got[None, None] == got[None, " "] == 1 and sum(got.values()) == 12
 
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 2**40), max_size=200))
-def test_gap_code_round_trip(values):
-    values = np.sort(np.array(values, np.int64)) % (1 << 22)
+@given(st.lists(st.integers(0, 2**40), max_size=200), st.integers(0, 3))
+def test_gap_code_round_trip(values, low):
+    values = np.sort(np.array(values, np.int64)) % (1 << (12 + 8 * low))
     values.sort()
-    assert sketch.gap_decoded(sketch.gap_coded(values)).tolist() == values.tolist()
+    gaps, planes = sketch._gaps(values, low)
+    assert sketch._values(gaps, np.frombuffer(planes, np.uint8).reshape(low, len(values)), low).tolist() == values.tolist()
 
 
 @settings(max_examples=60, deadline=None)
@@ -170,10 +174,45 @@ def test_words_of_any_texts(texts):
     assert got == [WORD.findall(t or "") for t in texts]
 
 
-def test_sketch_misses_no_repeated_key(spark):
-    keys = np.random.default_rng(3).integers(0, 2**63, 5000, np.uint64)
-    keys[4000:] = keys[:1000]
-    table = spark.createDataFrame([(k,) for k in keys.astype(np.int64).tolist()], "k long").repartition(5)
-    flags = sketch.build(table, lambda batches: (b.column(0).to_numpy().view(np.uint64) for b in batches), sketch.bits_for(5000))
-    seen = sketch.repeated(flags, keys)
-    assert seen[:1000].all() and seen[4000:].all() and seen[1000:4000].mean() < 0.2
+def through_the_sketch(buckets, grid, counts=False):
+    """What each bucket is told of its keys, without Spark."""
+    sent = pa.concat_tables([sketch.packets(k, keys, grid) for k, keys in enumerate(buckets)])
+    merge = sketch.merger(grid, counts)
+    told = pa.concat_tables([merge(sent.filter(pc.equal(sent.column("shard"), s))) for s in pc.unique(sent.column("shard")).to_pylist()])
+    own = [told.filter(pc.equal(told.column("bucket"), k)) for k in range(len(buckets))]
+    return [sketch.orders_told(t, keys, grid) if counts else sketch.bits_told(t, sketch.SKETCH, keys, grid) for t, keys in zip(own, buckets)]
+
+
+@pytest.mark.parametrize("n_buckets", [1, 5, 64])
+def test_sketch_misses_no_repeated_key_and_passes_few_single_ones_at_any_size(n_buckets):
+    """Cells follow the keys: the share of single keys that pass is the same however many buckets there are."""
+    r = np.random.default_rng(3)
+    common = kernels.mix(r.integers(0, 2**63, 50, np.uint64))
+    buckets = [np.unique(np.concatenate([kernels.mix(r.integers(0, 2**63, 4000, np.uint64)), common])) for _ in range(n_buckets)]
+    n = sum(map(len, buckets))
+    grid = sketch.sized(5 * n, 5, n_buckets)._replace(buckets=n_buckets)
+    assert 4 <= (grid.shards << grid.cell_bits) / n <= 17
+    told = through_the_sketch(buckets, grid)
+    for keys, seen in zip(buckets, told):
+        shared = np.isin(keys, common)
+        assert seen[shared].all() == (n_buckets > 1) and seen[~shared].mean() < 0.1
+
+
+def test_sketch_has_no_largest_size():
+    """30 GB, 1 TB and 100 TB: four cells a key, packets of about equal size, small ranges."""
+    for size in (30 * 10**9, 10**12, 10**14):
+        grid = sketch.sized(size, 5, 200)
+        cells = grid.shards << grid.cell_bits
+        assert cells >= 4 * size / 5 and grid.shard_bits + grid.cell_bits <= 56
+        assert size / 5 / grid.buckets / grid.shards > 400
+
+
+def test_sketch_orders_keys_by_frequency():
+    r = np.random.default_rng(4)
+    common, rare = kernels.mix(r.integers(0, 2**63, 20, np.uint64)), kernels.mix(r.integers(0, 2**63, 20, np.uint64))
+    buckets = [np.unique(np.concatenate([kernels.mix(r.integers(0, 2**63, 2000, np.uint64)), common, rare if k < 2 else rare[:0]])) for k in range(32)]
+    grid = sketch.sized(5 * 32 * 2040, 5, 32)._replace(buckets=32)
+    told = through_the_sketch(buckets, grid, counts=True)
+    of = lambda keys: [told[k][np.isin(buckets[k], keys)] for k in range(2)]
+    assert all((x >= 5).all() for x in of(common)) and all((x == of(rare)[0]).all() for x in of(rare)) and np.median(of(rare)[0]) == 1
+    assert np.mean(told[0][~np.isin(buckets[0], [*common, *rare])] == 0) > 0.9

@@ -3,11 +3,12 @@
 A text's set holds the hashes of its distinct shingles (ASCII lower-cased words). Texts with one set are one
 class. Steps:
 
-1. A count-min sketch over all texts tells shingles that may occur in two texts from those that cannot. The
-   second kind can be in no overlap: it counts towards a set's size and prefix, and is otherwise left out. A
-   class whose prefix holds no other shingle joins nothing and goes no further, which is most of them.
-2. Order: shingles of one text first, then those that the sketch doesn't take for frequent, then by hash. Classes with identical prefix (its shared part) and
-   size collapse into one group. Groups are posted under their prefix shingles.
+1. A count-min sketch over all texts (see sketch.py; it grows with the table) tells shingles that may occur in two
+   texts from those that cannot. The second kind can be in no overlap: it counts towards a set's size and prefix,
+   and is otherwise left out. A class whose prefix holds no other shingle joins nothing and goes no further, which
+   is most of them.
+2. Order: shingles of one text first, then by the binary order of the sketch's count, then by hash. Classes with
+   identical prefix (its shared part) and size collapse into one group. Groups are posted under their prefix shingles.
 3. First round: within each group and each posting list, members are verified against leaders (the class
    with the smallest share of unshared shingles; lists are salted, so leaders are many where lists are long). The
    links found are contracted to components.
@@ -45,7 +46,8 @@ SIZE = 5
 SALTS = 8
 BLOCK = 512
 RANGES = 128
-OFTEN = 8
+#: Bytes a word and its space are expected to take: one shingle begins at each word.
+WORD_BYTES = 5
 #: Prefixes of up to so many shingles travel along, so that a pair is compared under its first common one only.
 SHORT = 64
 MADE = ("n_shingles", "component_id")
@@ -91,31 +93,34 @@ def mark_of(text: Column) -> Column:
 
 
 def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int, marked: bool = False) -> DataFrame:
-    """One row a text: id, n, key and, for the first of a class in its task if the class may join, the shared
+    """One row a text: id, n, key and, for the first of a class in its bucket if the class may join, the shared
     shingles in order, how many of them the prefix holds, and the group of that prefix and size; the mark of
     the text, if asked for."""
     own = docs.select(id_column, text, *([mark_of(F.col(text)).alias("__mark")] if marked else []))
-    total = text_bytes(own, text)
+    grid = sketch.grid(docs.sparkSession, text_bytes(own, text), WORD_BYTES)
+    dealt = sketch.dealt(own, id_column, text, grid)
 
-    def keys(batches):
-        for piece in cut(batches, text):
-            found = shingle_sets(piece.column(1), size)
-            yield np.concatenate(found) if found else np.zeros(0, K.U64)
+    def found_in(table: pa.Table):
+        made = [(piece, shingle_sets(piece.column(1), size)) for piece in cut(table.to_batches(), text)]
+        return made, np.concatenate([np.zeros(0, K.U64), *(s for _, sets in made for s in sets)])
 
-    flags = docs.sparkSession.sparkContext.broadcast(sketch.build(own, keys, sketch.bits_for(total // 6), OFTEN))
+    def send(table: pa.Table) -> pa.Table:
+        return sketch.packets(table.column("__bucket")[0].as_py(), np.unique(found_in(table)[1]), grid)
 
-    def run(batches):
+    def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
+        made, shingles = found_in(table)
+        keys, place, here = sketch.distinct(shingles)
+        # a shingle of two texts of this bucket and of no other: 1 in all texts that hold it
+        often = np.maximum(sketch.orders_told(answers, keys, grid), here)[place] if len(keys) else np.zeros(0, np.uint8)
         told: set[bytes] = set()
-        for piece in cut(batches, text):
-            found = shingle_sets(piece.column(1), size)
-            twice = sketch.repeated(flags.value, np.concatenate(found))
+        at, out = 0, []
+        for piece, sets in made:
             rows = {f.name: [] for f in _SETS}
-            at = 0
-            for s in found:
-                shared = s[twice[at : at + len(s)]]
+            for s in sets:
+                order = often[at : at + len(s)]
                 at += len(s)
-                if len(shared):
-                    shared = shared[np.argsort(sketch.frequent(flags.value, shared), kind="stable")]
+                shared = s[order > 0]
+                shared = shared[np.argsort(order[order > 0], kind="stable")]
                 n, key = len(s), set_key(s) if len(s) else None
                 left = prefix_size(n, percent) - (n - len(shared))
                 if n and left > 0 and key not in told:
@@ -126,9 +131,13 @@ def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int,
                     row = (n, key, None, None, None, None)
                 for name, v in zip(rows, row):
                     rows[name].append(v)
-            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(rows[f.name], f.type) for f in _SETS), *piece.columns[2:]], names=[id_column, *_SETS.names, *piece.schema.names[2:]])
+            out.append(pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(rows[f.name], f.type) for f in _SETS), *piece.columns[2:-1]], names=[id_column, *_SETS.names, *piece.schema.names[2:-1]]))
+        return pa.Table.from_batches(out)
 
-    return staged(own.mapInArrow(run, T.StructType([own.schema[id_column], *_SETS_DDL, *own.schema.fields[2:]])), "sets")
+    sent = dealt.groupBy("__bucket").applyInArrow(send, sketch.PACKET_DDL)
+    answers = sketch.by_shard(sent, grid).applyInArrow(sketch.merger(grid, counts=True), sketch.ANSWER_DDL)
+    made = dealt.groupBy("__bucket").cogroup(answers.groupBy("bucket")).applyInArrow(judge, T.StructType([own.schema[id_column], *_SETS_DDL, *own.schema.fields[2:]]))
+    return staged(made, "sets")
 
 
 def first_pairs(classes: DataFrame) -> DataFrame:

@@ -1,127 +1,174 @@
-"""Count-min sketch of 64-bit keys: built per partition, merged by block, read back as "seen twice" bits.
-
-A partition sends, for each of two rows, the sorted cells it hit as byte-coded gaps, cut into blocks of
-cells; one reducer merges a block and keeps one bit per cell, set if the cell was hit twice or more. A key
-is estimated repeated if its bit is set in both rows. Estimates only err upwards, so no repeated key is
-missed. The merged bits are the only thing the driver gathers. Their size follows the expected number of
-keys up to MAX_BITS a row (64 MB each) and never passes it; beyond that the sketch lets more single keys
-through, which costs the exact pass work but loses nothing.
+"""Count-min sketch of 64-bit keys that grows with the data: its ranges lie with reducers, never with the driver.
+
+Rows of a table are dealt to buckets. A bucket sends its distinct keys to the hash ranges (shards) they belong to,
+each key as its cell in the first row, as a byte-coded gap, and one byte for the second row. A shard merges what
+all buckets sent, counts both rows and answers each bucket with one bit for each of its keys, in order: was the
+smaller of the two cells hit twice or more? Estimates only err upwards, so no key of two buckets is missed; a
+bucket knows its own repeats. Cells are at least CELLS a key at every size, so the share of single keys that pass
+doesn't grow with the table.
+
+The second row places a key within the GROUP cells around its first one, so one order serves both rows.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .kernels import U64
 
-ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-MIN_BITS, MAX_BITS, BLOCK_BITS = 20, 29, 22
-FLUSH = 6_000_000
+CELLS = 4
+GROUP = 256
+#: Bytes of text in a bucket: BUCKET, and beyond about 30 GB GROWTH times the root of the table's size, so that
+#: what one bucket sends to one shard stays about as large (packets grow with the table, not with its square).
+BUCKET, GROWTH, LEAST = 8 << 20, 46, 256 << 10
 
-_PART = pa.schema([("line", pa.int32()), ("block", pa.int32()), ("gaps", pa.binary())])
-_MERGED = pa.schema([("line", pa.int32()), ("block", pa.int32()), ("twice", pa.binary()), ("often", pa.binary())])
-#: Cells that share a bit of the optional third array.
-FOLD = 8
+PACKET = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("gaps", pa.binary()), ("rest", pa.binary())])
+PACKET_DDL = "bucket long, shard int, gaps binary, rest binary"
+ANSWER = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("told", pa.binary())])
+ANSWER_DDL = "bucket long, kind int, shard int, told binary"
+SKETCH = 0
 
 
-def bits_for(keys: int) -> int:
-    """Cells of a row as a power of two: four for each expected key, within the fixed bounds."""
-    return min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(keys, 1) * 4)))))
+class Grid(NamedTuple):
+    """buckets of rows, 2**shard_bits ranges of keys, 2**cell_bits cells a row in each; low: how many bytes of
+    a gap are sent as they are."""
 
+    buckets: int
+    shard_bits: int
+    cell_bits: int
+    low: int
 
-def cells(keys: np.ndarray, line: int, bits: int) -> np.ndarray:
-    return (keys * U64(ROWS[line])) >> U64(64 - bits)
+    @property
+    def shards(self) -> int:
+        return 1 << self.shard_bits
 
+    def shard_of(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> U64(64 - self.shard_bits)).astype(np.int64)
 
-def gap_coded(values: np.ndarray) -> bytes:
-    """Sorted non-negative values as gaps in bytes: 255 stands for 255 more, a smaller byte ends a value."""
-    gaps = np.diff(values, prepend=values.dtype.type(0)).astype(np.int64)
-    ends = np.cumsum(gaps // 255 + 1) - 1
-    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
-    out[ends] = gaps % 255
-    return out.tobytes()
 
+def sized(size: int, per_key: int, least: int = 1) -> Grid:
+    """The grid for so many bytes with about one key in per_key bytes, and `least` buckets if there are bytes for them."""
+    buckets = max(1, min(least, -(-size // LEAST)), -(-size // max(BUCKET, int(GROWTH * size**0.5))))
+    shard_bits = max(1, buckets.bit_length() - 1)
+    keys = max(1, size // per_key)
+    cell_bits = max(GROUP.bit_length() - 1, int(np.ceil(np.log2(CELLS * keys / (1 << shard_bits)))))
+    gap = 2.0 ** (cell_bits + shard_bits) * buckets / keys
+    return Grid(buckets, shard_bits, cell_bits, sum(gap >= x for x in (2**7, 2**15, 2**23)))
 
-def gap_decoded(coded: bytes) -> np.ndarray:
-    raw = np.frombuffer(coded, np.uint8)
-    return np.cumsum(raw, dtype=np.int64)[raw != 255]
+
+def grid(spark: SparkSession, size: int, per_key: int) -> Grid:
+    return sized(size, per_key, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _parts(keys: list[np.ndarray], bits: int):
-    keys = np.concatenate(keys)
-    for line in range(len(ROWS)):
-        own = np.sort(cells(keys, line, bits))
-        # a cell hit more than twice counts as hit twice
-        own = own[np.concatenate([np.ones(min(2, len(own)), bool), own[2:] != own[:-2]])] if len(own) else own
-        block = (own >> U64(BLOCK_BITS)).astype(np.int64)
-        names, begin = np.unique(block, return_index=True)
-        for k, lo, hi in zip(names.tolist(), begin, [*begin[1:], len(own)]):
-            yield line, k, gap_coded(own[lo:hi] & U64((1 << BLOCK_BITS) - 1))
+def dealt(docs: DataFrame, id_column: str, text: str, own: Grid, least: int = 1) -> DataFrame:
+    """docs with __bucket, by a hash of id and text. Texts below `least` bytes have no keys and may lie
+    anywhere: they are spread by partition too, so that a third of all rows may be null."""
+    content = F.xxhash64(F.col(id_column), F.col(text))
+    short = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) < least
+    bucket = F.pmod(F.when(short, content + F.spark_partition_id()).otherwise(content), F.lit(own.buckets))
+    return docs.withColumn("__bucket", bucket).repartition(own.buckets, "__bucket")
 
 
-def build(df: DataFrame, keys_of, bits: int, often: int = 0) -> list[bytearray]:
-    """The merged bits, one byte array a row (which a broadcast unpickles without a second copy). keys_of: from record batches, yields arrays of 64-bit keys. often:
-    if not 0, a third array tells which cells of the first row, folded, were hit so many times (a partition
-    counts for two at most)."""
+def by_shard(packets: DataFrame, own: Grid):
+    return packets.repartition(own.shards, "shard").groupBy("shard")
 
-    def sketch(batches):
-        held, n = [], 0
 
-        def flush():
-            got = list(_parts(held, bits))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.binary())], schema=_PART)
+def _gaps(values: np.ndarray, low: int) -> tuple[bytes, bytes]:
+    """Sorted values as gaps: the upper part in bytes, where 255 stands for 255 more and a smaller byte ends
+    it; the `low` lower bytes plane by plane."""
+    gaps = np.diff(values, prepend=0)
+    high = gaps >> (8 * low)
+    ends = np.cumsum(high // 255 + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
+    out[ends] = high % 255
+    return out.tobytes(), b"".join(((gaps >> (8 * k)) & 255).astype(np.uint8).tobytes() for k in range(low))
 
-        for keys in keys_of(batches):
-            held.append(keys)
-            n += len(keys)
-            if n >= FLUSH:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
 
-    block_bits = min(BLOCK_BITS, bits)
+def _values(coded, planes: np.ndarray, low: int) -> np.ndarray:
+    raw = np.frombuffer(coded, np.uint8)
+    gaps = np.diff(np.cumsum(raw, dtype=np.int64)[raw != 255], prepend=0) << (8 * low)
+    for k in range(low):
+        gaps |= planes[k].astype(np.int64) << (8 * k)
+    return np.cumsum(gaps)
+
+
+def packets(bucket: int, keys: np.ndarray, own: Grid) -> pa.Table:
+    """What a bucket sends for its sorted distinct keys."""
+    shard = own.shard_of(keys)
+    cells = ((keys << U64(own.shard_bits)) >> U64(64 - own.cell_bits)).astype(np.int64)
+    second = (keys & U64(GROUP - 1)).astype(np.uint8)
+    names, begin = np.unique(shard, return_index=True)
+    rows = {f.name: [] for f in PACKET}
+    for k, lo, hi in zip(names.tolist(), begin, [*begin[1:], len(keys)]):
+        gaps, low = _gaps(cells[lo:hi], own.low)
+        for name, v in zip(rows, (bucket, k, gaps, low + second[lo:hi].tobytes())):
+            rows[name].append(v)
+    return pa.Table.from_pydict(rows, schema=PACKET)
+
+
+def merger(own: Grid, counts: bool = False):
+    """The function of a shard: merges its packets and answers each. counts: after the bits come, for each key
+    whose bit is set, one byte with the binary order of its estimated count."""
 
     def merge(table: pa.Table) -> pa.Table:
-        seen = np.zeros(1 << block_bits, np.uint8)
-        for coded in table.column("gaps"):
-            values = gap_decoded(coded.as_py())
-            first = np.ones(len(values), bool)
-            first[1:] = values[1:] != values[:-1]
-            for own in (values[first], values[~first]):
-                seen[own] = np.minimum(seen[own], 254) + 1
-        many = np.packbits((seen.reshape(-1, FOLD) >= often).any(axis=1), bitorder="little").tobytes() if often and table.column("line")[0].as_py() == 0 else None
-        return pa.Table.from_pydict({"line": table.column("line")[:1], "block": table.column("block")[:1], "twice": [np.packbits(seen >= 2, bitorder="little").tobytes()], "often": [many]}, schema=_MERGED)
-
-    merged = df.mapInArrow(sketch, "line int, block int, gaps binary").groupBy("line", "block").applyInArrow(merge, "line int, block int, twice binary, often binary")
-    out = [bytearray((1 << bits) // 8) for _ in ROWS]
-    if often:
-        out.append(bytearray((1 << bits) // 8 // FOLD))
-    step = (1 << block_bits) // 8
-    for row in merged.toLocalIterator():
-        out[row.line][row.block * step : (row.block + 1) * step] = row.twice
-        if row.often is not None:
-            out[-1][row.block * step // FOLD : (row.block + 1) * step // FOLD] = row.often
-    return out
-
-
-def repeated(flags: list[bytearray], keys: np.ndarray) -> np.ndarray:
-    """Which keys are estimated to occur twice or more."""
-    bits = int(np.log2(len(flags[0]) * 8))
-    out = np.ones(len(keys), bool)
-    for line in range(len(ROWS)):
-        out &= _bit(flags[line], cells(keys, line, bits))
-    return out
-
-
-def frequent(flags: list[bytearray], keys: np.ndarray) -> np.ndarray:
-    """Which keys are estimated to occur often: a function of the key alone, for orders."""
-    bits = int(np.log2(len(flags[0]) * 8))
-    return _bit(flags[len(ROWS)], cells(keys, 0, bits) // U64(FOLD))
-
-
-def _bit(row: bytearray, at: np.ndarray) -> np.ndarray:
-    row = np.frombuffer(row, np.uint8)
-    return (row[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+        first, second = [], []
+        for gaps, rest in zip(table.column("gaps"), table.column("rest")):
+            planes = np.frombuffer(rest.as_buffer(), np.uint8).reshape(own.low + 1, -1)
+            cells = _values(gaps.as_buffer(), planes, own.low)
+            first.append(cells)
+            second.append((cells & ~(GROUP - 1)) | planes[-1])
+        at = np.cumsum([0, *map(len, first)])
+        estimate = None
+        for cells in (np.concatenate(first), np.concatenate(second)):
+            seen = np.zeros(1 << own.cell_bits, np.uint32)
+            np.add.at(seen, cells, 1)
+            estimate = seen[cells] if estimate is None else np.minimum(estimate, seen[cells])
+        twice = estimate >= 2
+        order = np.log2(estimate).astype(np.uint8) if counts else None
+        told = []
+        for lo, hi in zip(at[:-1], at[1:]):
+            bits = np.packbits(twice[lo:hi]).tobytes()
+            told.append(bits + order[lo:hi][twice[lo:hi]].tobytes() if counts else bits)
+        n = table.num_rows
+        return pa.Table.from_pydict({"bucket": table.column("bucket"), "kind": np.full(n, SKETCH, np.int32), "shard": table.column("shard"), "told": told}, schema=ANSWER)
+
+    return merge
+
+
+def answers_of(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    """(shard, answer) of a kind, by shard."""
+    return sorted((s, t) for k, s, t in zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), answers.column("told").to_pylist()) if k == kind)
+
+
+def sizes_of(keys: np.ndarray, own: Grid) -> dict[int, int]:
+    names, n = np.unique(own.shard_of(keys), return_counts=True)
+    return dict(zip(names.tolist(), n.tolist()))
+
+
+def bits_told(answers: pa.Table, kind: int, keys: np.ndarray, own: Grid) -> np.ndarray:
+    """One bit for each of a bucket's sorted distinct keys."""
+    sizes = sizes_of(keys, own)
+    parts = [np.unpackbits(np.frombuffer(t, np.uint8), count=sizes[s]) for s, t in answers_of(answers, kind)]
+    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+
+
+def orders_told(answers: pa.Table, keys: np.ndarray, own: Grid) -> np.ndarray:
+    """For each key 0 if no other bucket seems to have it, else the binary order of its count."""
+    sizes, parts = sizes_of(keys, own), []
+    for s, t in answers_of(answers, SKETCH):
+        raw = np.frombuffer(t, np.uint8)
+        part = np.unpackbits(raw[: -(-sizes[s] // 8)], count=sizes[s])
+        part[part > 0] = raw[-(-sizes[s] // 8) :]
+        parts.append(part)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, each key's place among them, and which of them occur twice or more here."""
+    own, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return own, place, n > 1

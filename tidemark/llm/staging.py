@@ -38,11 +38,6 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def buckets_for(spark: SparkSession, size: int, each: int = 8 << 20) -> int:
-    """How many buckets hold `size` bytes at about `each` bytes, and at least one for each shuffle partition."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
-
-
 def fresh(df: DataFrame, *made: str) -> DataFrame:
     """df without columns whose names the operator is about to give to its own results."""
     taken = {m.lower() for m in made}

@@ -3,9 +3,11 @@
 A window is `size` consecutive words of one text. A word is removed if a window that covers it also starts
 in a row with a smaller id; windows are judged on the input. Steps:
 
-1. Each partition sketches its windows; the merged sketch overestimates how often a window occurs.
-2. Rows are dealt to buckets by a hash of id and text. A bucket sends each window that the sketch takes for
-   repeated once, with the smallest id it has for it, packed by hash range.
+1. Rows are dealt to buckets by a hash of id and text. Each bucket sketches its windows; the merged sketch, which
+   is as large as the table needs and stays with the reducers (see sketch.py), overestimates how often a window
+   occurs and tells each bucket which of its windows may occur elsewhere.
+2. A bucket sends each window that it knows or the sketch takes for repeated once, with the smallest id it has
+   for it, packed by hash range.
 3. One reducer a hash range groups the windows exactly (96 bits) and answers each with one bit: does a
    smaller id exist in another bucket?
 4. Each bucket, met with its answers, marks words and builds what is kept.
@@ -14,7 +16,8 @@ Nothing is keyed by a window alone, so a passage that a third of all rows share
 
 Defined results: a null or empty text has no words and keeps an empty text; a text shorter than a window
 loses nothing; a null id counts as larger than every id; rows with one id never remove each other's words;
-an empty table gives an empty result. Columns of the input named like a result are replaced.
+a very long text is one piece of its bucket and costs about 60 bytes of memory a byte; an empty table gives an
+empty result. Columns of the input named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 from . import sketch
-from .staging import buckets_for, cut, fresh, text_bytes
+from .staging import cut, fresh, text_bytes
 
 SIZE = 13
 MADE = ("n_words", "n_removed", "kept_text", "removed")
 LAST = np.iinfo(np.int64).max
+#: Bytes a word and its space are expected to take: one window begins at each word.
+WORD_BYTES = 5
 _PACKET = pa.schema([("shard", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("who", pa.binary()), ("ids", pa.binary())])
-_ANSWER = pa.schema([("bucket", pa.int64()), ("shard", pa.int32()), ("smaller", pa.binary())])
+EXACT = 1
 
 
 def windows(texts, size: int):
@@ -57,18 +62,27 @@ def pieces(table: pa.Table, text: str):
     yield from cut(table.to_batches(), text)
 
 
-def bucket_windows(table, id_column, text, size, flags):
-    """All windows of a bucket taken for repeated: hashes, ids; for each distinct one the smallest id."""
-    a, b, ids = [], [], []
-    for piece in pieces(table, text):
-        _, _, wa, wb, row = windows(piece.column(piece.schema.get_field_index(text)), size)
-        keep = sketch.repeated(flags, wa)
-        a.append(wa[keep])
-        b.append((wb[keep] >> K.U64(32)).astype(np.uint32))
-        ids.append(own_ids(piece, id_column)[row[keep]])
-    if not a:
-        return np.zeros(0, K.U64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    return np.concatenate(a), np.concatenate(b), np.concatenate(ids)
+class Bucket:
+    """The windows of a bucket: for each piece of its texts where words and windows begin, and for all windows
+    two hashes and the row's id."""
+
+    def __init__(self, table: pa.Table, id_column: str, text: str, size: int):
+        self.pieces = []
+        a, b, ids = [np.zeros(0, K.U64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for piece in pieces(table, text):
+            words, begin, wa, wb, row = windows(piece.column(piece.schema.get_field_index(text)), size)
+            self.pieces.append((piece, words, begin))
+            a.append(wa)
+            b.append((wb >> K.U64(32)).astype(np.uint32))
+            ids.append(own_ids(piece, id_column)[row])
+        self.a, self.b, self.ids = np.concatenate(a), np.concatenate(b), np.concatenate(ids)
+
+    def keep_repeated(self, answers: pa.Table, grid: sketch.Grid) -> np.ndarray:
+        """Leaves only the windows that may occur twice; which those are."""
+        keys, place, here = sketch.distinct(self.a)
+        keep = (here | sketch.bits_told(answers, sketch.SKETCH, keys, grid))[place] if len(keys) else np.zeros(0, bool)
+        self.a, self.b, self.ids = self.a[keep], self.b[keep], self.ids[keep]
+        return keep
 
 
 def distinct(a, b, ids):
@@ -85,24 +99,20 @@ def distinct(a, b, ids):
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, spans: bool = True) -> DataFrame:
     """The rows of docs with n_words, n_removed, kept_text (kept words joined by one space) and, if asked
     for, removed: runs of removed words as structs of first word and end."""
-    spark = docs.sparkSession
     docs = fresh(docs, *MADE)
-    total = text_bytes(docs, text)
-    bits = sketch.bits_for(total // 6)
-
-    def keys(batches):
-        for piece in cut(batches, text):
-            yield windows(piece.column(piece.schema.get_field_index(text)), size)[2]
-
-    shared = spark.sparkContext.broadcast(sketch.build(docs.select(text), keys, bits))
-    n_buckets = buckets_for(spark, total)
-    shard_bits = max(1, n_buckets.bit_length() - 1)
-    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_column), F.col(text)), F.lit(n_buckets)))
-
-    def send(table: pa.Table) -> pa.Table:
-        a, b, who, _ = distinct(*bucket_windows(table, id_column, text, size, shared.value))
-        shard = (a >> K.U64(64 - shard_bits)).astype(np.int64)
-        names, begin = np.unique(shard, return_index=True)
+    grid = sketch.grid(docs.sparkSession, text_bytes(docs, text), WORD_BYTES)
+    dealt = sketch.dealt(docs, id_column, text, grid, 2 * size - 1)
+
+    def send_keys(table: pa.Table) -> pa.Table:
+        return sketch.packets(table.column("__bucket")[0].as_py(), np.unique(Bucket(table, id_column, text, size).a), grid)
+
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _PACKET.empty_table()
+        own = Bucket(table, id_column, text, size)
+        own.keep_repeated(answers, grid)
+        a, b, who, _ = distinct(own.a, own.b, own.ids)
+        names, begin = np.unique(grid.shard_of(a), return_index=True)
         rows = {f.name: [] for f in _PACKET}
         for k, lo, hi in zip(names.tolist(), begin, [*begin[1:], len(a)]):
             ids, at = np.unique(who[lo:hi], return_inverse=True)
@@ -118,7 +128,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         _, _, least, place = distinct(np.concatenate(a), np.concatenate(b), ids)
         smaller = least[place] < ids
         at = np.cumsum([0, *map(len, a)])
-        return pa.Table.from_pydict({"bucket": table.column("bucket"), "shard": table.column("shard"), "smaller": [np.packbits(smaller[lo:hi]).tobytes() for lo, hi in zip(at[:-1], at[1:])]}, schema=_ANSWER)
+        told = [np.packbits(smaller[lo:hi]).tobytes() for lo, hi in zip(at[:-1], at[1:])]
+        return pa.Table.from_pydict({"bucket": table.column("bucket"), "kind": np.full(len(told), EXACT, np.int32), "shard": table.column("shard"), "told": told}, schema=sketch.ANSWER)
 
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     if spans:
@@ -126,31 +137,24 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     kept_columns = docs.columns
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
-        a, b, ids = bucket_windows(table, id_column, text, size, shared.value)
-        _, _, least, place = distinct(a, b, ids)
-        told = sorted(zip(answers.column("shard").to_pylist(), answers.column("smaller").to_pylist()))
-        smaller = np.zeros(len(least), bool)
-        at = 0
-        firsts = a[np.unique(place, return_index=True)[1]] if len(a) else a
-        sizes = dict(zip(*np.unique((firsts >> K.U64(64 - shard_bits)).astype(np.int64), return_counts=True)))
-        for k, bits_ in told:
-            n = int(sizes[k])
-            smaller[at : at + n] = np.unpackbits(np.frombuffer(bits_, np.uint8), count=n)
-            at += n
-        gone = smaller[place] | (least[place] < ids) if len(a) else np.zeros(0, bool)
-        done = 0
-        made = []
-        for piece in pieces(table, text):
-            (data, _, starts, ends, first), begin, wa, _, _ = windows(piece.column(piece.schema.get_field_index(text)), size)
-            begin = begin[sketch.repeated(shared.value, wa)]
+        own = Bucket(table, id_column, text, size)
+        keep = own.keep_repeated(answers, grid)
+        firsts, _, least, place = distinct(own.a, own.b, own.ids)
+        gone = np.zeros(len(keep), bool)
+        if len(firsts):
+            gone[keep] = sketch.bits_told(answers, EXACT, firsts, grid)[place] | (least[place] < own.ids)
+        done, made = 0, []
+        for piece, (data, _, starts, ends, first), begin in own.pieces:
             hit = K.covered(begin[gone[done : done + len(begin)]], size, len(starts))
             done += len(begin)
             made.append(_kept(piece.select(kept_columns), data, starts, ends, first, hit, spans))
         return pa.Table.from_batches(made)
 
-    packets = dealt.groupBy("__bucket").applyInArrow(send, "shard int, bucket long, a binary, b binary, who binary, ids binary")
-    answers = packets.groupBy("shard").applyInArrow(answer, "bucket long, shard int, smaller binary")
-    return dealt.groupBy("__bucket").cogroup(answers.groupBy("bucket")).applyInArrow(judge, out)
+    sent = dealt.groupBy("__bucket").applyInArrow(send_keys, sketch.PACKET_DDL)
+    maybe = sketch.by_shard(sent, grid).applyInArrow(sketch.merger(grid), sketch.ANSWER_DDL).repartition(grid.buckets, "bucket")
+    packets = dealt.groupBy("__bucket").cogroup(maybe.groupBy("bucket")).applyInArrow(send, "shard int, bucket long, a binary, b binary, who binary, ids binary")
+    exact = sketch.by_shard(packets, grid).applyInArrow(answer, sketch.ANSWER_DDL)
+    return dealt.groupBy("__bucket").cogroup(maybe.unionByName(exact).groupBy("bucket")).applyInArrow(judge, out)
 
 
 def _kept(batch, data, starts, ends, first, hit, spans):

@@ -5,7 +5,8 @@ covered by one; matches never cross texts. The parse makes this affordable on re
 
 1. Parse. A rolling hash over W bytes triggers a cut about every P bytes, so equal stretches are cut alike. A
    phrase is what lies between two cuts, with the W bytes that triggered the first; a count-min sketch over all
-   phrases is the dictionary's occurrence filter: a window that holds a phrase of one occurrence is unique.
+   phrases (see sketch.py; it grows with the table) is the dictionary's occurrence filter: a window that holds a
+   phrase of one occurrence is unique.
 2. Parse contexts. The windows that start in one phrase and whose next cut is within NEAR bytes form a cell.
    Its unit is all the bytes its windows touch; its context is the NEAR bytes after the cut, which all its
    windows hold. Units and contexts are counted exactly (96 bits): a unit seen twice settles its whole cell.
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 from . import sketch
 from .kernels import U64
-from .staging import buckets_for, cut, fresh, text_bytes
+from .staging import cut, fresh, text_bytes
 
 MADE = ("n_bytes", "n_removed", "n_spans", "kept", "spans")
 
@@ -118,7 +119,6 @@ class Parse:
         # a cut at the very end of a text cuts nothing; the trigger must lie in the text
         ok = (doc < len(begins)) & (cuts - W >= begins[np.minimum(doc, len(begins) - 1)]) & (cuts < ends[np.minimum(doc, len(begins) - 1)]) if len(begins) else np.zeros(len(cuts), bool)
         cuts, doc = cuts[ok], doc[ok]
-        self.hash = Hashes(self.data)
         # phrases: from one cut to the next of the same text
         same = doc[1:] == doc[:-1]
         self.phrase_at = np.flatnonzero(same)
@@ -139,26 +139,29 @@ class Parse:
         self.lo, self.hi, self.anchor, self.end = near[keep], hi[keep], anchor[keep], ends[own][keep]
         far = np.minimum(near, hi)
         self.far, _ = spread(lo, far)
+        self.hash: Hashes | None = None
 
-    def phrase_hashes(self) -> np.ndarray:
+    def keys(self) -> np.ndarray:
+        """What the sketch counts: the hashes of all phrases, then those of all far windows."""
+        own = Hashes(self.data)
         k = self.phrase_at
-        return self.hash.of(self.cuts[k] - W, self.cuts[k + 1]) if len(k) else np.zeros(0, U64)
-
-    def far_hashes(self):
-        return self.hash.pair(self.far, self.far + self.size)
+        return np.concatenate([own.of(self.cuts[k] - W, self.cuts[k + 1]), own.of(self.far, self.far + self.size)])
 
-    def drop_unique(self, flags) -> None:
-        """Forget cells whose windows all hold a phrase of one occurrence, and far windows seen once."""
+    def drop_unique(self, repeated: np.ndarray) -> None:
+        """Forget cells whose windows all hold a phrase of one occurrence, and far windows seen once, by what is
+        known of each key. The hashes that the rest needs are made from here on."""
+        self.hash = Hashes(self.data)
         unique = np.zeros(len(self.cuts) + 1, np.int64)
-        if len(self.phrase_at):
-            unique[self.phrase_at + 1] = ~sketch.repeated(flags, self.phrase_hashes())
+        unique[self.phrase_at + 1] = ~repeated[: len(self.phrase_at)]
         unique = np.cumsum(unique)
         first = np.searchsorted(self.cuts, self.anchor)  # the cut at the anchor
         past = np.searchsorted(self.cuts, self.anchor + NEAR, side="right") - 1  # the last cut in the context
         ok = unique[np.maximum(past, first)] == unique[first]
         self.lo, self.hi, self.anchor, self.end = self.lo[ok], self.hi[ok], self.anchor[ok], self.end[ok]
-        if len(self.far):
-            self.far = self.far[sketch.repeated(flags, self.far_hashes()[0])]
+        self.far = self.far[repeated[len(self.phrase_at) :]]
+
+    def far_hashes(self):
+        return self.hash.pair(self.far, self.far + self.size)
 
     def units(self):
         return self.hash.pair(self.lo, np.minimum(self.hi - 1 + self.size, self.end))
@@ -167,11 +170,26 @@ class Parse:
         return self.hash.pair(self.anchor, self.anchor + NEAR)
 
 
-def parses(table: pa.Table, text: str, size: int, flags):
-    for piece in cut(table.to_batches(), text, SLICE):
-        parse = Parse(piece.column(piece.schema.get_field_index(text)), size)
-        parse.drop_unique(flags)
-        yield piece, parse
+def parses(table: pa.Table, text: str, size: int, answers: pa.Table | None = None, grid: sketch.Grid | None = None):
+    """Pieces and parses of a bucket's texts and, without answers, its distinct keys; with them, what is unique
+    is dropped and the hashes of one piece are held at a time."""
+    made = [(piece, Parse(piece.column(piece.schema.get_field_index(text)), size)) for piece in cut(table.to_batches(), text, SLICE)]
+    found = [parse.keys() for _, parse in made]
+    keys, place, here = sketch.distinct(np.concatenate([np.zeros(0, U64), *found]))
+    if answers is None:
+        return keys
+    repeated = (here | sketch.bits_told(answers, sketch.SKETCH, keys, grid))[place] if len(keys) else np.zeros(0, bool)
+
+    def each():
+        at = 0
+        for k, own in enumerate(found):
+            piece, parse = made[k]
+            made[k] = None
+            parse.drop_unique(repeated[at : at + len(own)])
+            at += len(own)
+            yield piece, parse
+
+    return each()
 
 
 def counted(a: np.ndarray, b: np.ndarray, times: np.ndarray | None = None):
@@ -188,16 +206,14 @@ def counted(a: np.ndarray, b: np.ndarray, times: np.ndarray | None = None):
 
 _PACKET = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("times", pa.binary())])
 _PACKET_DDL = "shard int, kind int, bucket long, a binary, b binary, times binary"
-_ANSWER = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("times", pa.binary())])
-_ANSWER_DDL = "bucket long, kind int, shard int, times binary"
-UNIT, CONTEXT, WINDOW = 0, 1, 2
+UNIT, CONTEXT, WINDOW = 1, 2, 3
 
 
-def packets(bucket: int, shard_bits: int, kinds: dict[int, tuple]) -> pa.Table:
+def packets(bucket: int, grid: sketch.Grid, kinds: dict[int, tuple]) -> pa.Table:
     """Distinct keys of each kind with their counts, by hash range."""
     rows = {f.name: [] for f in _PACKET}
     for kind, (a, b, times) in kinds.items():
-        names, begin = np.unique((a >> U64(64 - shard_bits)).astype(np.int64), return_index=True)
+        names, begin = np.unique(grid.shard_of(a), return_index=True)
         for k, lo, hi in zip(names.tolist(), begin, [*begin[1:], len(a)]):
             for name, v in zip(rows, (k, kind, bucket, a[lo:hi].tobytes(), b[lo:hi].tobytes(), np.minimum(times[lo:hi], MOST).astype(np.int32).tobytes())):
                 rows[name].append(v)
@@ -207,7 +223,7 @@ def packets(bucket: int, shard_bits: int, kinds: dict[int, tuple]) -> pa.Table:
 def answer(table: pa.Table) -> pa.Table:
     """For each key sent: its total count; for units negative unless the sender is the first that has it.
     Windows only need to know of a second occurrence: one bit each."""
-    out = {f.name: [] for f in _ANSWER}
+    out = {f.name: [] for f in sketch.ANSWER}
     kinds, buckets = table.column("kind").to_numpy(), table.column("bucket").to_numpy()
     columns = [[np.frombuffer(x.as_buffer(), t) for x in table.column(c)] for c, t in (("a", U64), ("b", np.uint32), ("times", np.int32))]
     shard = table.column("shard")[0].as_py()
@@ -227,27 +243,22 @@ def answer(table: pa.Table) -> pa.Table:
             at += len(x)
             for name, v in zip(out, (int(buckets[k]), kind, shard, np.packbits(part > 1).tobytes() if kind == WINDOW else part.tobytes())):
                 out[name].append(v)
-    return pa.Table.from_pydict(out, schema=_ANSWER)
+    return pa.Table.from_pydict(out, schema=sketch.ANSWER)
 
 
-def told(answers: pa.Table, kind: int, a: np.ndarray, shard_bits: int) -> np.ndarray:
-    """The answers for a bucket's distinct keys of a kind, in their order."""
-    rows = [(s, t) for k, s, t in zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), answers.column("times").to_pylist()) if k == kind]
-    if kind != WINDOW:
-        return np.concatenate([np.frombuffer(t, np.int32) for _, t in sorted(rows)]) if rows else np.zeros(0, np.int32)
-    names, n = np.unique((a >> U64(64 - shard_bits)).astype(np.int64), return_counts=True)
-    sizes = dict(zip(names.tolist(), n.tolist()))
-    return np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=sizes[s]) for s, t in sorted(rows)]) > 0 if rows else np.zeros(0, bool)
+def times_told(answers: pa.Table, kind: int) -> np.ndarray:
+    """The counts told of a bucket's distinct keys of a kind, in their order."""
+    return np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(t, np.int32) for _, t in sketch.answers_of(answers, kind))])
 
 
 class Bucket:
     """One bucket's cells and far windows, numbered over all its texts; parsed slice by slice, once.
     windows: whether to hash the windows of all cells too."""
 
-    def __init__(self, table: pa.Table, text: str, size: int, flags, windows: bool):
+    def __init__(self, table: pa.Table, text: str, size: int, answers: pa.Table, grid: sketch.Grid, windows: bool):
         self.slices = []
         units, contexts, own, far = ([] for _ in range(4))
-        for piece, parse in parses(table, text, size, flags):
+        for piece, parse in parses(table, text, size, answers, grid):
             units.append(parse.units())
             contexts.append(parse.contexts())
             if windows:
@@ -259,9 +270,9 @@ class Bucket:
         self.unit, self.context = (counted(*map(np.concatenate, zip(*(x or empty)))) for x in (units, contexts))
         self.own, self.far = own, far
 
-    def settle(self, answers: pa.Table, shard_bits: int) -> np.ndarray:
+    def settle(self, answers: pa.Table) -> np.ndarray:
         """For each cell: is it settled. From then on, only the windows to be compared one by one are held."""
-        unit, context = told(answers, UNIT, self.unit[0], shard_bits), told(answers, CONTEXT, self.context[0], shard_bits)
+        unit, context = times_told(answers, UNIT), times_told(answers, CONTEXT)
         n_unit, n_context = np.abs(unit)[self.unit[4]], context[self.context[4]]
         settled = n_unit > 1
         first = np.zeros(len(settled), bool)
@@ -286,30 +297,25 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     spans: the removed runs as structs of first byte and end."""
     if size < 2 * NEAR:
         raise ValueError(f"size must be {2 * NEAR} at least")
-    spark = docs.sparkSession
     docs = fresh(docs, *MADE)
-    total = text_bytes(docs, text)
-
-    def keys(batches):
-        for piece in cut(batches, text, SLICE):
-            parse = Parse(piece.column(piece.schema.get_field_index(text)), size)
-            yield np.concatenate([parse.phrase_hashes(), parse.far_hashes()[0]])
+    grid = sketch.grid(docs.sparkSession, text_bytes(docs, text), P - 6)
+    dealt = sketch.dealt(docs, id_column, text, grid, size)
 
-    shared = spark.sparkContext.broadcast(sketch.build(docs.select(text), keys, sketch.bits_for(total // (P - 6))))
-    n_buckets = buckets_for(spark, total)
-    shard_bits = max(1, n_buckets.bit_length() - 1)
-    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_column), F.col(text)), F.lit(n_buckets)))
+    def send_keys(table: pa.Table) -> pa.Table:
+        return sketch.packets(table.column("__bucket")[0].as_py(), parses(table, text, size), grid)
 
-    def send(table: pa.Table) -> pa.Table:
-        own = Bucket(table, text, size, shared.value, False)
-        return packets(table.column("__bucket")[0].as_py(), shard_bits, {UNIT: own.unit[:3], CONTEXT: own.context[:3]})
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _PACKET.empty_table()
+        own = Bucket(table, text, size, answers, grid, False)
+        return packets(table.column("__bucket")[0].as_py(), grid, {UNIT: own.unit[:3], CONTEXT: own.context[:3]})
 
     def send_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _PACKET.empty_table()
-        own = Bucket(table, text, size, shared.value, True)
-        own.settle(answers, shard_bits)
-        return packets(table.column("__bucket")[0].as_py(), shard_bits, {WINDOW: own.windows[:3]})
+        own = Bucket(table, text, size, answers, grid, True)
+        own.settle(answers)
+        return packets(table.column("__bucket")[0].as_py(), grid, {WINDOW: own.windows[:3]})
 
     names = docs.columns
     out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in MADE[:3]), T.StructField("kept", T.BinaryType())])
@@ -317,10 +323,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         out = out.add("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Bucket(table, text, size, shared.value, True)
-        settled = own.settle(answers, shard_bits)
+        own = Bucket(table, text, size, answers, grid, True)
+        settled = own.settle(answers)
         a, _, _, _, number = own.windows
-        repeated = told(answers, WINDOW, a, shard_bits)[number] if len(a) else np.zeros(0, bool)
+        repeated = sketch.bits_told(answers, WINDOW, a, grid)[number] if len(a) else np.zeros(0, bool)
         cell, window, made = 0, 0, []
         for (piece, data, at, lo, hi), starts in zip(own.slices, own.starts):
             known = settled[cell : cell + len(lo)]
@@ -333,11 +339,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             made.append(_cut_out(piece.select(names), data, at, np.cumsum(step[:-1]) > 0, spans))
         return pa.Table.from_batches(made)
 
-    sent = dealt.groupBy("__bucket").applyInArrow(send, _PACKET_DDL)
-    answers = sent.groupBy("shard").applyInArrow(answer, _ANSWER_DDL)
-    windows = dealt.groupBy("__bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_windows, _PACKET_DDL)
-    more = windows.groupBy("shard").applyInArrow(answer, _ANSWER_DDL)
-    return dealt.groupBy("__bucket").cogroup(answers.unionByName(more).groupBy("bucket")).applyInArrow(judge, out)
+    def asked(f, told: DataFrame) -> DataFrame:
+        sent = dealt.groupBy("__bucket").cogroup(told.groupBy("bucket")).applyInArrow(f, _PACKET_DDL)
+        return sketch.by_shard(sent, grid).applyInArrow(answer, sketch.ANSWER_DDL).repartition(grid.buckets, "bucket")
+
+    keys = dealt.groupBy("__bucket").applyInArrow(send_keys, sketch.PACKET_DDL)
+    told = sketch.by_shard(keys, grid).applyInArrow(sketch.merger(grid), sketch.ANSWER_DDL).repartition(grid.buckets, "bucket")
+    for f in (send, send_windows):
+        told = told.unionByName(asked(f, told))
+    return dealt.groupBy("__bucket").cogroup(told.groupBy("bucket")).applyInArrow(judge, out)
 
 
 def _cut_out(batch, data, at, gone, spans):
