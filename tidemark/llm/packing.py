@@ -3,15 +3,19 @@
 The number of pieces of each length is a histogram of at most `length` counts, the only thing the driver
 plans on, however large the corpus. Patterns are the ways in which two or three lengths fill a sequence
 exactly. Their repeat counts are fitted to the histogram by non-negative least squares (multiplicative
-updates, which keep every count non-negative), rounded down and cut to what is there; what is left is
-packed by filling patterns greedily with the longest pieces that fit, many equal sequences at a time. The
-plan says which ranks of each length go to which sequences and where; pieces find theirs by rank.
+updates, which keep every count non-negative), rounded down and cut to what is there; what is left, the
+residuals, is packed by filling sequences with the longest pieces that fit, many equal sequences at a time. How
+much of the fit is best left to the residuals differs: it is rounded down at each of SHARES, and the rounding with
+the fewest sequences is the plan. The plan says which ranks of each length go to which sequences and where; pieces
+find theirs by rank.
 
 Ranks need no group of one length in one place: pieces are numbered within (length, salt), and the counts
 of the salts give each its offset.
 
-Defined results: a null or empty text is a document of the end token alone; an empty table gives an empty
-result; repeated rows are packed separately.
+Defined results: a null or empty text is a document of the end token alone; a very long one is many pieces; a null
+id is kept, and ranks first; repeated rows are packed separately, ties of id and piece in any order, as equal
+pieces may change places; an empty table gives an empty result. Only id and text are read, so names of other
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from . import tokens
 from .staging import staged
 
 ROUNDS = 400
+#: Parts of the fitted repeats that are rounded down, one by one and summed.
+SHARES, SUMMED = (1.0, 0.75, 0.5), (0.5, 0.25, 0.05)
 
 
 def patterns(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -62,24 +68,35 @@ def fitted(rows: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.nda
 
 def plan(counts: np.ndarray, room: int) -> dict[str, np.ndarray]:
     """Segments of the ranks of each length: from rank `first` on, `size` pieces, `each` to a sequence, go to
-    sequences from `sequence` on, at `offset`. counts[l]: pieces of length l. Where patterns can't help (few
-    pieces, or hardly any that complete each other), the greedy packing alone may need fewer sequences."""
-    made = [_planned(counts, room, times) for times in (1.0, 0.0)]
-    return min(made, key=lambda m: m[1])[0]
-
-
-def _planned(counts: np.ndarray, room: int, share: float) -> tuple[dict[str, np.ndarray], int]:
+    sequences from `sequence` on, at `offset`; fitted: whether the sequences are of a fitted pattern. counts[l]:
+    pieces of length l. Of the roundings of the fit, the one with the fewest sequences (of equals the one that
+    keeps most of the fit); one that rounds every pattern away counts only if all do."""
+    left = counts.astype(np.int64).copy()
+    left[[0, room]] = 0
+    rows = patterns(np.flatnonzero(left), room)
+    times = fitted(rows, left)
+    order = np.argsort(-times, kind="stable")
+    summed = np.zeros(len(times))
+    summed[order] = np.cumsum(times[order])
+    made = [_rounded(counts, room, rows, np.floor(share * times).astype(np.int64)) for share in SHARES]
+    # a fit spread over many patterns rounds to nothing one by one: its running sum is rounded instead
+    made += [_rounded(counts, room, rows, (np.floor(share * summed) - np.floor(share * (summed - times))).astype(np.int64)) for share in SUMMED]
+    return min(made, key=lambda m: (not m[0]["fitted"].any(), m[1]))[0]
+
+
+def _rounded(counts: np.ndarray, room: int, rows: np.ndarray, times: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
+    """The plan with so many repeats of each pattern, as far as pieces are there, and its number of sequences."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
     used = np.zeros_like(left)
-    out = {k: [] for k in ("length", "first", "size", "each", "sequence", "offset")}
+    out = {k: [] for k in ("length", "first", "size", "each", "sequence", "offset", "fitted")}
     next_sequence = 0
 
-    def place(parts: list[tuple[int, int]], times: int) -> None:
+    def place(parts: list[tuple[int, int]], times: int, fitted: bool = False) -> None:
         nonlocal next_sequence
         offset = 0
         for length, each in parts:
-            for k, v in zip(out, (length, used[length], each * times, each, next_sequence, offset)):
+            for k, v in zip(out, (length, used[length], each * times, each, next_sequence, offset, fitted)):
                 out[k].append(int(v))
             used[length] += each * times
             left[length] -= each * times
@@ -88,15 +105,13 @@ def _planned(counts: np.ndarray, room: int, share: float) -> tuple[dict[str, np.
 
     if left[room]:
         place([(room, 1)], int(left[room]))
-    rows = patterns(np.flatnonzero(left), room)
-    times = np.floor(share * fitted(rows, left)).astype(np.int64) if share else np.zeros(len(rows), np.int64)
     for k in np.argsort(-times, kind="stable"):
         if times[k] < 1:
             break
         kinds, each = np.unique(rows[k][rows[k] > 0], return_counts=True)
         n = min(times[k], *(left[kinds] // each))
         if n > 0:
-            place(list(zip(kinds.tolist(), each.tolist())), int(n))
+            place(list(zip(kinds.tolist(), each.tolist())), int(n), True)
     while left.any():
         free, parts = room, []
         own = left.copy()

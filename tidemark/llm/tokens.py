@@ -69,6 +69,8 @@ def pieces(id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCA
                     rows["length"].append(len(part))
                     rows["ids_crc32"].append(zlib.crc32(part.tobytes()))
                     if ids:
+                        if part.max(initial=0) > 0xFFFF:
+                            raise ValueError(f"ids of {vocabulary} don't fit 16 bits")
                         rows["ids"].append(part.astype("<u2").tobytes())
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
