@@ -42,18 +42,47 @@ def test_quality_metrics(docs, rows, no_docs):
 
 
 def test_quality_order_decides_no_verdict(docs):
-    rules = quality.rules()
-    made = quality.measured(docs)
-    kept = [made.where(quality.verdict(order, rules).isNull()).count() for order in (list(rules), list(rules)[::-1])]
+    own, text, words = quality.with_words(docs, "text")
+    rejects = quality.bound(quality.RULES, quality.lazy(text, words))
+    kept = [own.where(quality.verdict(order, rejects).isNull()).count() for order in (list(rejects), list(rejects)[::-1])]
     assert kept[0] == kept[1] > 0
-    found = quality.ordered(docs, rules, sample_rows=20)
-    assert {n for n, _, _ in found} == set(rules)
+
+
+def test_quality_order_is_by_rejections_per_cost_and_stable(docs):
+    found = quality.ordered(docs)
+    assert {n for n, _, _ in found} == set(quality.RULES)
     assert [-s / c for _, s, c in found] == sorted(-s / c for _, s, c in found)
+    assert found == quality.ordered(docs) == quality.ordered(docs.repartition(2))
+
+
+def test_quality_metrics_in_the_chain_are_those_of_the_report(docs):
+    chain = quality.judged(docs).select("doc_id", "text", "rejected_by")
+    report = quality.judged(docs, metrics=True).select("doc_id", "text", "rejected_by")
+    assert Counter(map(tuple, chain.collect())) == Counter(map(tuple, report.collect()))
+    own, text, words = quality.with_words(docs, "text")
+    every = quality.lazy(text, words) | {"n_repeat_words": quality.repeat_words(words, F.lit(0))}
+    got = own.select("text", *(every[m].alias(m) for m in quality.MADE)).collect()
+    assert all(tuple(r)[1:] == brute_metrics(r.text) for r in got)
+
+
+def test_quality_short_circuits(spark):
+    """A metric that raises is never reached for a text that an earlier rule rejects."""
+    docs = spark.createDataFrame([(1, "too few")], "doc_id long, text string")
+    rules = {"few": quality.RULES["few_words"], "raises": (("n_words",), lambda n: F.raise_error(F.lit("reached")).cast("boolean"))}
+    own, text, words = quality.with_words(docs, "text")
+    assert own.select(quality.verdict(["few", "raises"], quality.bound(rules, quality.lazy(text, words)))).first()[0] == "few"
+
+
+def test_quality_of_a_very_long_text(spark):
+    text = " ".join(f"w{k * k % 90_001}" for k in range(250_000))
+    got = quality.measured(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert tuple(got)[2:] == brute_metrics(text)
 
 
 def test_quality_stays_native(docs):
-    plan = quality.judged(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    for metrics in (False, True):
+        plan = quality.judged(docs, metrics=metrics)._jdf.queryExecution().toString()
+        assert not re.search("Python|Arrow|Pandas", plan)
 
 
 # 7: chat formatting
@@ -214,6 +243,26 @@ def test_plan_places_every_rank_once(histogram):
     assert all(v <= 50 for v in load.values()) and sum(load.values()) == (counts * np.arange(51)).sum()
 
 
+def test_the_plan_is_the_fitted_one_and_no_longer_than_filling_longest_first():
+    r = np.random.default_rng(9)
+    for pieces in (np.clip(r.lognormal(4.5, 1.0, 1500), 2, 1024), r.integers(2, 1025, 4000), np.concatenate([np.full(900, 1024), r.integers(2, 700, 600)])):
+        counts = np.bincount(pieces.astype(int), minlength=1025)
+        plan = packing.plan(counts, 1024)
+        rows = packing.patterns(np.flatnonzero(counts[:1024]), 1024)
+        greedy = packing._rounded(counts, 1024, rows, np.zeros(len(rows), np.int64))[1]
+        assert plan["fitted"].any() and max(plan["sequence"] + plan["size"] // plan["each"]) <= greedy
+
+
+def test_a_vocabulary_beyond_16_bits_is_refused(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "encoder", lambda _: lambda text: [70_000])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["x"]})
+    assert next(tokens.pieces()(iter([batch]))).num_rows == 1
+    with pytest.raises(ValueError):
+        next(tokens.pieces(ids=True)(iter([batch])))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 2**70))
 def test_feistel_is_a_permutation(n, key):
