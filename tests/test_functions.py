@@ -1,7 +1,10 @@
 """Vectors of the text, URL and file functions."""
 
 import hashlib
+import html
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,7 +47,19 @@ def test_dday(spark, end, want):
 def test_clean_and_strip(spark):
     assert one(spark, text.clean, "　 a&amp;amp;  b\n ") == "a&amp; b"
     assert one(spark, text.strip_html, "<p>a</p><script>x<y</script>\n \n<b>&lt;b</b>") == "\na\n<b\n"
-    assert one(spark, lambda c: text.unescape_all(c), "&eacute;&#233;&amp;lt;") == "éé&lt;"
+    assert one(spark, text.clean, "&hellip;&#8211;&#x27;&eacute;") == "…–'é"
+
+
+REFERENCES = ["&eacute;&#233;&amp;lt;", "a & b", "&", "&&amp;", "&ampx", "&notit;", "&notin;", "&#0;&#128;&#x80;&#129;&#x110000;&#xD800;&#99999999999999999999;", "&#xFEFF;x", "&#1;&#11;&#127;&#xFFFE;&#x1FFFF;|", "&#x1F600;&#128512", "&#;&#x;&#xg", "&nosuch; &LT &Lt; &NotEqualTilde;", "&copy2;&copy;2", "가&nbsp;나&amp;nbsp;", "&CounterClockwiseContourIntegral;", ""]
+
+
+def test_every_reference_is_decoded_as_the_standard_library_does(spark):
+    r = random.Random(2)
+    names = list(html.entities.html5)
+    made = ["".join(r.choice(["&", "#", ";", "x", "amp", "1", "2f", "x20ac", " ", "é", "lt", r.choice(names), "&" + r.choice(names), f"&#{r.randrange(1200000)};", f"&#x{r.randrange(70000):X}"]) for _ in range(r.randrange(1, 9))) for _ in range(400)]
+    texts = REFERENCES + made + [f"&{n}" for n in names] + [f"&{n.rstrip(';')}z" for n in names]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.unescape(F.col("t")).alias("x")).collect()
+    assert [(r.t, r.x) for r in got if r.x != html.unescape(r.t)] == []
 
 
 def test_body_slice(spark):
@@ -103,6 +118,11 @@ def test_hosts(spark, url, want):
         ("/l.do?RECH_ANCM_ID=S20131", "/l.do?RECH_ANCM_ID=S20131", False),
         ("/l.do?RECH_ANCM_ID=S99999", "/l.do?RECH_ANCM_ID=S20131", True),
         ("/ok", "/upload", True),
+        ("/a/./b/../c/?q=/../x", "/a/c?q=/../x", False),
+        ("/a+b", "/a+b", False),
+        ("/a%2Bb", "/a+b", False),
+        ("/a%20b", "/a b", False),
+        ("", "/a", True),
     ],
 )
 def test_robots(spark, path, pattern, want):
@@ -129,11 +149,12 @@ def test_markup_payload(spark, content, name, want):
     assert one(spark, files.html_payload, content, name) is want
 
 
-@pytest.mark.parametrize("name, want", [("공고.hwp".encode().decode("latin-1"), "공고.hwp"), ("공고.hwp".encode("cp949").decode("latin-1"), "공고.hwp"), ("AI·DX.pdf", "AI·DX.pdf"), ("R&amp;amp;amp;D.hwp", "R&D.hwp"), ("a%20b", "a b"), (None, None), ("", "")])
-def test_recovered_names(name, want):
-    assert files.recovered(name) == want
+@pytest.mark.parametrize("name, want", [("공고.hwp".encode().decode("latin-1"), "공고.hwp"), ("공고.hwp".encode("cp949").decode("latin-1"), "공고.hwp"), ("AI·DX.pdf", "AI·DX.pdf"), ("R&amp;amp;amp;D.hwp", "R&D.hwp"), ("a%20b", "a b"), ("가\u00e9\u00e9", "가\u00e9\u00e9"), ("\u00ff\u00ff", "\u00ff\u00ff"), (None, None), ("", "")])
+def test_recovered_names(spark, name, want):
+    assert files.recovered(pd.Series(["x", name])).tolist()[1] in (want, want or float("nan")) or pd.isna(name)
+    assert one(spark, files.filename_recover, name) == want
 
 
-@pytest.mark.parametrize("header, want", [("attachment; filename=a&amp;b.hwp; size=10", "a&b.hwp"), ("x; filename*=UTF-8''%EA%B0%80.hwp", "가.hwp"), ('x; filename="a;b.pdf"', "a;b.pdf"), ("x; filename*=bad''%FF; filename=ok.txt", "ok.txt"), ("inline", None), (None, None)])
+@pytest.mark.parametrize("header, want", [("attachment; filename=a&amp;b.hwp; size=10", "a&b.hwp"), ("x; filename*=UTF-8''%EA%B0%80.hwp", "가.hwp"), ('x; filename="a;b.pdf"', "a;b.pdf"), ("x; filename*=bad''%FF; filename=ok.txt", "ok.txt"), ("inline", None), (None, None), ("", None), ("x; FileName = b.txt ; a=b", "b.txt"), ("x; filename=a&amp;amp;b&#39;c.hwp;z", "a&b'c.hwp"), ("filename=;", None), ('x; filename=""', ""), ("x; filename*=''a%20b", "a b"), ("x; filename*=nothing; filename=c", "c")])
 def test_dispositions(header, want):
     assert files.disposition_name(header) == want

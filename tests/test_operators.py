@@ -101,6 +101,22 @@ def test_page_cap_and_least(spark):
     assert scan.coverage(scan.crawl_stats(fresh, max_pages=2), smoke=True).first().status == "ok"
 
 
+def test_missing_empty_and_refused_pages_are_told(spark):
+    pages = spark.createDataFrame(
+        [("empty", 1, 200, None, False, "main"), ("gap", 2, 200, None, False, "main"), ("gap", 4, 200, None, False, "main"), ("no", 1, 200, None, False, "other"), ("no", 2, 403, None, False, "other"), ("net", 1, 200, None, False, "other"), ("net", 2, None, "reset", False, "other"), ("soft", 1, 200, None, True, "main")],
+        "source string, page_no int, status int, error string, blocked boolean, kind string",
+    )
+    rows = spark.createDataFrame([(s, p, f"{s}{p}") for s, p in (("gap", 2), ("gap", 4), ("no", 1), ("net", 1), ("soft", 1))], "source string, page_no int, id string")
+    got = {r.source: (r.stop_page, r.stop_reason, r.pages_fetched, r.collected, r.status, r.exit_code) for r in scan.coverage(scan.controlled(pages, rows), least=1).collect()}
+    assert got == {
+        "empty": (1, "parse-failure", 1, 0, "partial", 2),
+        "gap": (1, "network-error", 0, 0, "partial", 2),
+        "no": (2, "blocked", 1, 0, "manual", 3),
+        "net": (2, "error", 1, 1, "partial", 2),
+        "soft": (1, "blocked", 0, 0, "manual", 3),
+    }
+
+
 def test_dedup_keeps(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, o int, v string")
     assert sorted(r.v for r in scan.dedup(df, ["k"], ["o"], "last").collect()) == ["b", "c"]
@@ -214,6 +230,12 @@ def test_manifest(spark, tmp_path):
     (tmp_path / ".m.json.crc").unlink()
     again = manifest.write_manifest(spark, path, [manifest.make_run("C", "manual", 3, 0, 0, "blocked")], "t:1")
     assert len(again["runs"]) == 1 and (tmp_path / "m.json.corrupt-t1").exists() and json.loads((tmp_path / "m.json").read_text()) == again
+    (tmp_path / "m.json").write_text('{"runs": {"no": "list"}}')
+    (tmp_path / ".m.json.crc").unlink()
+    assert manifest.write_manifest(spark, path, [], "t:1")["recovered_from_corrupt"].endswith(".corrupt-t1-2")
+    (tmp_path / "m.json").write_text("{}")
+    (tmp_path / ".m.json.crc").unlink()
+    assert "recovered_from_corrupt" not in manifest.write_manifest(spark, path, [], "t") and not list(tmp_path.glob("*.tmp"))
     with pytest.raises(ValueError):
         manifest.make_run("A", "fine", 0, 0, 0, "x")
 
@@ -223,6 +245,11 @@ def test_profiles(spark):
     assert {r.key: r.value for r in manifest.bullets(lines).collect()} == {"대표자": "b:c"}
     full = dict.fromkeys(manifest.AXES, "x")
     assert manifest.carries_over(None, None) and manifest.carries_over(full, dict(full, other="y"))
+    cases = [(None, None), (full, dict(full, other="y")), (full, None), ({"y": "z"}, full), (full, full | {"대표자": 'z"\\'}), ({}, {}), ({"대표자": "a"}, {"대표자": "a"})]
+    got = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, a map<string,string>, b map<string,string>")
+    for r in got.select("k", manifest.carry_over(F.col("a"), F.col("b")).alias("c"), manifest.fingerprint_of(F.col("b")).alias("f")).collect():
+        a, b = cases[r.k]
+        assert r.c == manifest.carries_over(a, b) and (b is None or r.f == manifest.fingerprint(b))
     assert not manifest.carries_over(full, None) and not manifest.carries_over({"y": "z"}, full) and not manifest.carries_over(full, full | {"대표자": "z"})
 
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
+import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: The entities that list pages use, in the order that equals one decoding pass.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 #: Signs between the two dates of a period.
 PERIOD_SIGNS = "[~∼～]"
@@ -32,17 +28,61 @@ BLOCK_MARKERS = (
 )
 
 
+#: Every HTML5 entity by name, as the standard library lists them: with a final semicolon, the older ones also without.
+_NAMED = json.dumps(html.entities.html5)
+_OLDER = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+UNKNOWN, LAST_CODE = "\ufffd", 0x10FFFF
+
+
+def _charset(n: int) -> str:
+    """What a reference to 0x80 .. 0x9F means: Windows-1252 where it has a character."""
+    return bytes([n]).decode("cp1252", "ignore") or chr(n)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point as the HTML standard reads it."""
+    spelled = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+    return (
+        F.when((code == 0) | (code > LAST_CODE) | code.between(0xD800, 0xDFFF), UNKNOWN)
+        .when(code.between(0x80, 0x9F), F.get(F.array(*(F.lit(_charset(n)) for n in range(0x80, 0xA0))), (code - 0x80).cast("int")))
+        .when(code.between(0x01, 0x08) | code.between(0x0E, 0x1F) | (code == 0x0B) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code % 0x10000 >= 0xFFFE), "")
+        .otherwise(spelled)
+    )
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is written down, and worked out, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _numbered(number: Column) -> Column:
+    """The character of a numeric reference."""
+    digits = F.regexp_replace(number, "^#[xX]?0*|;$", "")
+    value = F.when(F.regexp_like(number, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(digits)
+    return let(F.when(digits == "", F.lit(0).cast("long")).when(F.length(digits) > 8, F.lit(LAST_CODE + 1).cast("long")).otherwise(value.cast("long")), _character)
+
+
+def _resolved(piece: Column) -> Column:
+    """The text after an ampersand with the reference that it begins with resolved."""
+    number = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    names = F.array(F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0), F.regexp_extract(piece, f"^(?:{_OLDER})", 0))
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    found = F.transform(names, lambda n: F.struct(n.alias("name"), F.try_element_at(named, n).alias("value")))
+    first = F.get(F.filter(found, lambda f: f["value"].isNotNull()), F.lit(0))
+    rest = lambda name: F.substring(piece, F.length(name) + 1, F.length(piece))
+    other = let(first, lambda f: F.when(f.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(f["value"], rest(f["name"]))))
+    return let(number, lambda n: F.when(n != "", F.concat(_numbered(n), rest(n))).otherwise(other))
+
+
 def unescape(c: Column) -> Column:
-    """Entities of ENTITIES decoded once, in the JVM."""
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Every HTML5 reference decoded once, in the JVM; text without an ampersand is left as it is."""
 
+    def decoded(text: Column) -> Column:
+        pieces = F.split(text, "&")
+        after = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _resolved)
+        return F.when(F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(after, ""))).otherwise(text)
 
-@F.pandas_udf(T.StringType())
-def unescape_all(s: pd.Series) -> pd.Series:
-    """Every HTML5 entity, decoded once; for text that may hold others than ENTITIES."""
-    return s.map(html.unescape, na_action="ignore")
+    return let(c, decoded)
 
 
 def squeeze(c: Column) -> Column:
@@ -70,8 +110,8 @@ def norm_date(c: Column, mode: str = "crawl") -> Column:
         c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
         eight = F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2))
         return F.when(F.regexp_like(c, F.lit(LONG_DATE)), _iso(c, LONG_DATE, "")).when(F.regexp_like(c, F.lit(r"(?U)^\d{8}$")), eight).otherwise(c)
-    c = clean(c)
-    return F.when(F.regexp_like(c, F.lit(LONG_DATE)), _iso(c, LONG_DATE, "")).when(F.regexp_like(c, F.lit(SHORT_DATE)), _iso(c, SHORT_DATE, "20")).otherwise(c)
+    dated = lambda c: F.when(F.regexp_like(c, F.lit(LONG_DATE)), _iso(c, LONG_DATE, "")).when(F.regexp_like(c, F.lit(SHORT_DATE)), _iso(c, SHORT_DATE, "20")).otherwise(c)
+    return let(clean(c), dated)
 
 
 def split_period(c: Column) -> tuple[Column, Column]:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os.path
 import re
 import urllib.parse
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def host(url: Column) -> Column:
@@ -72,47 +69,43 @@ def path_matches(path: Column, patterns: tuple[str, ...]) -> Column:
     return found
 
 
+#: A path may be percent-encoded so many times over.
 DECODINGS = 5
+#: The parts of any address (RFC 3986, appendix B): authority, path, query.
+ADDRESS = r"(?s)^(?:[^:/?#]+:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
-def _forms(target: str) -> list[str] | None:
-    """All decoding stages of a path and their normalised forms; None if it can't be decoded to the end."""
-    stages = [target]
-    while True:
-        if re.search(r"%(?![0-9A-Fa-f]{2})", stages[-1]):
-            return None
-        try:
-            after = urllib.parse.unquote(stages[-1], errors="strict")
-        except UnicodeDecodeError:
-            return None
-        if after == stages[-1]:
-            break
-        if len(stages) > DECODINGS:
-            return None
-        stages.append(after)
-    out = list(stages)
-    for s in stages:
-        path, mark, query = s.partition("?")
-        plain = os.path.normpath(path) + mark + query
-        out += [plain, "/" + s.lstrip("/") if s.startswith("/") else s, "/" + plain.lstrip("/") if plain.startswith("/") else plain]
-    return out
+def percent_decoded(c: Column) -> Column:
+    """One round of percent-decoding; null where an escape is malformed or the bytes aren't UTF-8."""
+    after = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    bad = F.contains(after, F.lit("\ufffd")) & ~F.contains(c, F.lit("\ufffd"))
+    return F.when(F.contains(c, F.lit("%")), F.when(~bad, after)).otherwise(c)
+
+
+def plain_path(c: Column) -> Column:
+    """The normal form of a path with its query: no empty or '.' segments, '..' resolved, one slash ahead of an
+    absolute path and none at the end."""
+    path = F.substring_index(c, "?", 1)
+    query = F.substring(c, F.length(path) + 1, F.length(c))
+    segments = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda held, x: F.when(x.isin("", "."), held).when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x))))
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(segments, "/"), query)
 
 
 def robots_allowed(patterns: tuple[str, ...]):
-    """A pandas UDF of url: no decoding stage of its path meets a pattern. What can't be decoded isn't allowed."""
-    rules = [re.compile(robots_regex(p), re.S) for p in patterns]
-
-    @F.pandas_udf(T.BooleanType())
-    def allowed(urls: pd.Series) -> pd.Series:
-        def one(url):
-            try:
-                parts = urllib.parse.urlsplit(url)
-            except (ValueError, AttributeError):
-                return False
-            forms = _forms(parts.path + ("?" + parts.query if parts.query else ""))
-            return forms is not None and not any(r.match(f) for f in forms for r in rules)
-
-        return urls.map(one).astype(bool)
+    """A function of an address: is it free of the patterns. The path is decoded round by round until nothing
+    changes; a pattern forbids it if it meets any round, the round with one leading slash, or its normal form. What
+    can't be decoded to the end isn't allowed."""
+
+    def allowed(url: Column) -> Column:
+        own = F.translate(F.coalesce(url, F.lit("")), "\t\n\r", "")
+        part = lambda k: F.regexp_extract(own, ADDRESS, k)
+        target = F.concat(part(2), F.when(part(3) != "", F.concat(F.lit("?"), part(3))).otherwise(""))
+        target = F.nullif(target, F.lit("\0"))  # nullable, as later rounds are
+        rounds = F.aggregate(F.sequence(F.lit(1), F.lit(DECODINGS + 1)), F.array(target), lambda held, _: F.concat(held, F.array(percent_decoded(F.element_at(held, -1)))))
+        settled = F.coalesce(F.get(rounds, F.lit(DECODINGS)) == F.get(rounds, F.lit(DECODINGS + 1)), F.lit(False))
+        meets = lambda x: path_matches(x, patterns) | path_matches(F.regexp_replace(x, "^/+", "/"), patterns) | path_matches(plain_path(x), patterns)
+        odd_host = F.contains(part(1), F.lit("[")) != F.contains(part(1), F.lit("]"))
+        return url.isNotNull() & settled & ~odd_host & ~F.exists(F.array_compact(rounds), meets)
 
     return allowed
 

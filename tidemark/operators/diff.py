@@ -7,6 +7,7 @@ plan the anti or inner join directly, as the optimiser doesn't turn an outer joi
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,16 @@ def sources(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return each.groupBy("source").agg(F.bool_or("p").alias("in_prev"), F.bool_or("c").alias("in_curr"))
 
 
+#: Distinct sources that may be broadcast; beyond that joins on them are planned without a hint.
+FEW_SOURCES = 10_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A table of distinct sources, to be joined with rows: broadcast if it is counted to be small, as a shuffle
+    by source would gather all rows in a handful of tasks. Beyond FEW_SOURCES such a shuffle spreads them."""
+    return F.broadcast(df) if df.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else df
+
+
 def common_sources(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return prev.select("source").intersect(curr.select("source"))
 
@@ -58,7 +69,7 @@ def dropped_sources(prev: DataFrame, curr: DataFrame) -> DataFrame:
 def classify(prev: DataFrame, curr: DataFrame, carry_over: bool = True) -> DataFrame:
     """source, source_id, kind, changed_fields, new_source. Keys of sources that only the earlier run has are
     left out. Without carry-over (the profile changed) every current row is NEW, and GONE stays."""
-    met = _slim(prev, "p").join(_slim(curr, "c"), KEY, "full_outer").join(sources(prev, curr), "source")
+    met = _slim(prev, "p").join(_slim(curr, "c"), KEY, "full_outer").join(few(sources(prev, curr)), "source")
     met = met.where(F.col("c_here").isNotNull() | F.col("in_curr"))
     pair = F.col("p_here").isNotNull() & F.col("c_here").isNotNull()
     fields = met.withColumn("changed_fields", F.when(pair, changed_fields()).otherwise(F.array().cast("array<string>")))
@@ -71,7 +82,7 @@ def classify(prev: DataFrame, curr: DataFrame, carry_over: bool = True) -> DataF
 
 
 def new(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    return curr.join(prev.select(KEY), KEY, "left_anti").join(prev.select("source").distinct(), "source", "left_semi")
+    return curr.join(prev.select(KEY), KEY, "left_anti").join(few(prev.select("source").distinct()), "source", "left_semi")
 
 
 def gone(prev: DataFrame, curr: DataFrame) -> DataFrame:
@@ -95,25 +106,30 @@ def summary(classified: DataFrame) -> DataFrame:
 
 
 def wrapped(classified: DataFrame, prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """kind, diff_status, changed_fields and the record: the current one, or for GONE the earlier one."""
+    """kind, diff_status, changed_fields and the record: the current one, or for GONE the earlier one. Both
+    sides meet the classified rows in one join, so these are worked out once."""
     names = [c for c in curr.columns if c not in KEY]
-    record = lambda df: df.select(*KEY, F.struct(*KEY, *names).alias("record"))
-    live = classified.where(F.col("kind") != GONE).join(record(curr), KEY)
-    past = classified.where(F.col("kind") == GONE).join(record(prev), KEY)
-    return live.unionByName(past).select("kind", F.col("kind").alias("diff_status"), "changed_fields", "record")
+    record = lambda df, gone: df.select(*KEY, F.lit(gone).alias("__gone"), F.struct(*KEY, *((F.col(c) if c in df.columns else F.lit(None).cast(curr.schema[c].dataType)).alias(c) for c in names)).alias("record"))
+    own = classified.withColumn("__gone", F.col("kind") == GONE)
+    met = own.join(record(curr, False).unionByName(record(prev, True)), [*KEY, "__gone"])
+    return met.select("kind", F.col("kind").alias("diff_status"), "changed_fields", "record")
 
 
 def write(wrapped_rows: DataFrame, out: str) -> None:
-    """Review rows and GONE rows as JSON lines in two folders; every key is written, nulls too."""
-    held = wrapped_rows.where(F.col("kind") != SAME).select("kind", F.to_json(F.struct("kind", "diff_status", "changed_fields", "record"), {"ignoreNullFields": "false"}).alias("value"))
-    held.where(F.col("kind") != GONE).select("value").write.mode("overwrite").text(out)
-    head, _, tail = out.rpartition("/")
-    held.where(F.col("kind") == GONE).select("value").write.mode("overwrite").text(f"{head}/gone_{tail}")
+    """Review rows and GONE rows as JSON lines in two folders; every key is written, nulls too. The rows are worked
+    out once and kept for the second folder."""
+    held = wrapped_rows.where(F.col("kind") != SAME).select("kind", F.to_json(F.struct("kind", "diff_status", "changed_fields", "record"), {"ignoreNullFields": "false"}).alias("value")).persist(StorageLevel.DISK_ONLY)
+    try:
+        held.where(F.col("kind") != GONE).select("value").write.mode("overwrite").text(out)
+        head, _, tail = out.rpartition("/")
+        held.where(F.col("kind") == GONE).select("value").write.mode("overwrite").text(f"{head}/gone_{tail}")
+    finally:
+        held.unpersist()
 
 
 def unconfirmed(classified: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed rows, and GONE rows whose source's latest scan wasn't complete."""
-    complete = manifest.where("status = 'ok'").select("source").distinct()
+    complete = few(manifest.where("status = 'ok'").select("source").distinct())
     lost = classified.where(F.col("kind") == GONE)
     return classified.where(F.col("kind") != GONE).unionByName(lost.join(complete, "source", "left_semi")), lost.join(complete, "source", "left_anti")
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from itertools import chain, count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The profile's axes; a change in one invalidates earlier verdicts.
@@ -18,30 +20,44 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "source") -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def earlier_runs(text: str) -> list[dict] | None:
+    """The runs of a written manifest, none if it lists none; None if it can't be understood: no JSON object, or
+    runs that are no list."""
+    try:
+        held = json.loads(text)
+    except ValueError:
+        return None
+    runs = held.get("runs", []) if isinstance(held, dict) else None
+    return [r for r in runs if isinstance(r, dict)] if isinstance(runs, list) else None
+
+
 def write_manifest(spark: SparkSession, path: str, runs: list[dict], generated_at: str) -> dict:
-    """Replace the runs of the same sources in the manifest at path, through the file system of the path: to a
-    temporary name, then renamed. A manifest that can't be read is kept under .corrupt-<time>."""
+    """Replace the runs of the same sources in the manifest at path, through the file system of the path: written
+    under a name of its own, then renamed over the old one, so that readers see one or the other. A manifest that
+    can't be understood is kept under .corrupt-<time>, with a number where that name is taken."""
     jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    name = jvm.org.apache.hadoop.fs.Path
+    where = name(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     before, corrupt = [], None
     if fs.exists(where):
-        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-        try:
-            before = [r for r in json.loads(text)["runs"] if isinstance(r, dict)]
-        except (ValueError, KeyError, TypeError):
-            corrupt = f"{path}.corrupt-{generated_at.replace(':', '')}"
-            fs.rename(where, jvm.org.apache.hadoop.fs.Path(corrupt))
+        before = earlier_runs("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+        if before is None:
+            before, base = [], f"{path}.corrupt-{generated_at.replace(':', '')}"
+            corrupt = next(c for c in chain([base], (f"{base}-{k}" for k in count(2))) if not fs.exists(name(c)))
+            fs.rename(where, name(corrupt))
     named = {r["source"] for r in runs}
     made = {"manifest_schema_version": MANIFEST_VERSION, "generated_at": generated_at, "runs": [r for r in before if r.get("source") not in named] + runs}
     if corrupt:
         made["recovered_from_corrupt"] = corrupt
-    temporary = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
-    out = fs.create(temporary, True)
+    temporary = name(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(temporary, False)
     out.write(bytearray(json.dumps(made, ensure_ascii=False, indent=2).encode()))
     out.close()
-    fs.delete(where, False)
-    fs.rename(temporary, where)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()) if where.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(temporary, where, overwrite)
     return made
 
 
@@ -72,6 +88,20 @@ def carries_over(old: dict[str, str] | None, new: dict[str, str] | None) -> bool
         return False
     return all(any(p.get(a) for a in AXES) for p in (old, new)) and fingerprint(old) == fingerprint(new)
 
+
+def fingerprint_of(fields: Column) -> Column:
+    """fingerprint() of a map column, as an expression."""
+    value = lambda axis: F.coalesce(F.to_json(F.array(F.try_element_at(fields, F.lit(axis)))), F.lit("[null]"))
+    spelled = F.concat_ws(", ", *(F.concat(F.lit(f'"{axis}": '), F.regexp_replace(value(axis), r"^\[|\]$", "")) for axis in sorted(AXES)))
+    return F.substring(F.sha2(F.encode(F.concat(F.lit("{"), spelled, F.lit("}")), "UTF-8"), 256), 1, 16)
+
+
+def carry_over(old: Column, new: Column) -> Column:
+    """carries_over() of two map columns, null where there is no profile."""
+    filled = lambda p: F.exists(F.array(*(F.coalesce(F.try_element_at(p, F.lit(a)), F.lit("")) for a in AXES)), lambda v: v != "")
+    return F.when(old.isNull() | new.isNull(), old.isNull() & new.isNull()).otherwise(filled(old) & filled(new) & (fingerprint_of(old) == fingerprint_of(new)))
+
+
 #: Exit codes of run states.
 EXIT_CODES = {"ok": 0, "partial": 2, "manual": 3}
 

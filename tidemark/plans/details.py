@@ -76,20 +76,34 @@ def profile_map(t):
     return found.groupBy("conv_id", "key").agg(F.max_by("value", "turn").alias("value"))
 
 
-@query("profile_guard")
-def profile_guard(t):
-    """Fingerprints of four literal profiles, and whether verdicts carry over from each to the next."""
-    base = {"창업 단계": "예비", "지역 연고": "충남", "대표자": "청년", "필요한 것": "자금"}
-    cases = [("same", base, dict(base)), ("changed", base, base | {"지역 연고": "서울"}), ("one_sided", base, None), ("none", None, None), ("empty", {"x": "y"}, base)]
-    rows = [(n, M.fingerprint(a or {}), M.fingerprint(b or {}), M.carries_over(a, b)) for n, a, b in cases]
-    return t("region").sparkSession.createDataFrame(rows, "name string, old string, new string, carries_over boolean")
+_JSON = "'{{\"대표자\": ' || coalesce('\"' || {0}.v0 || '\"', 'null') || ', \"지역 연고\": ' || coalesce('\"' || {0}.v1 || '\"', 'null') || ', \"창업 단계\": ' || coalesce('\"' || {0}.v2 || '\"', 'null') || ', \"필요한 것\": ' || coalesce('\"' || {0}.v3 || '\"', 'null') || '}}'"
+_PROFILES = "p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang END AS v0, CASE WHEN doc_id % 5 < 3 THEN source END AS v1, CASE WHEN doc_id % 7 < 2 THEN CAST(doc_id % 10 AS VARCHAR) END AS v2, CASE WHEN doc_id % 11 = 0 THEN 'x' END AS v3, doc_id % 13 <> 0 AS here FROM documents)"
 
 
-@query("safe_filename", r"SELECT doc_id, printf('%02d_', doc_id % 100) || substr(regexp_replace(substr(text, 1, 200), '[^a-zA-Z0-9_.\-\p{L}\p{N}()\[\] ]', '_', 'g'), 1, 120) AS name FROM (SELECT doc_id, regexp_extract(replace(substr(text, 1, 200), chr(92), '/'), '[^/]*$') AS text FROM documents) WHERE text <> ''")
+@query(
+    "profile_guard",
+    f"WITH {_PROFILES}, f AS (SELECT o.doc_id, substr(sha256({_JSON.format('o')}), 1, 16) AS old, substr(sha256({_JSON.format('n')}), 1, 16) AS new, o.here AS oh, n.here AS nh, coalesce(o.v0, o.v1, o.v2, o.v3) IS NOT NULL AS ofilled, coalesce(n.v0, n.v1, n.v2, n.v3) IS NOT NULL AS nfilled FROM p o JOIN p n ON n.doc_id = o.doc_id + 105) SELECT doc_id, old, new, (NOT oh AND NOT nh) OR (oh AND nh AND ofilled AND nfilled AND old = new) AS carries_over FROM f",
+)
+def profile_guard(t):
+    """The profile of each document against that of the one 105 further: fingerprints, and whether verdicts
+    carry over."""
+    d = F.col("doc_id")
+    values = (F.when(d % 3 == 0, F.col("lang")), F.when(d % 5 < 3, F.col("source")), F.when(d % 7 < 2, (d % 10).cast("string")), F.when(d % 11 == 0, F.lit("x")))
+    held = F.create_map(*(x for axis, v in zip(sorted(M.AXES), values) for x in (F.lit(axis), v)))
+    own = t("documents").select("doc_id", F.when(d % 13 != 0, held).alias("old"), held.alias("fields"))
+    after = own.select((d - 105).alias("doc_id"), F.col("old").alias("new"), F.col("fields").alias("new_fields"))
+    met = own.join(after, "doc_id")
+    return met.select("doc_id", M.fingerprint_of(F.col("fields")).alias("old"), M.fingerprint_of(F.col("new_fields")).alias("new"), M.carry_over(F.col("old"), F.col("new")).alias("carries_over"))
+
+
+@query("safe_filename", r"SELECT doc_id, printf('%02d_', doc_id % 100) || CASE WHEN base = '' THEN 'attach' ELSE substr(regexp_replace(base, '[^a-zA-Z0-9_.\-\p{L}\p{M}\p{N}\p{Pc}()\[\] ]', '_', 'g'), 1, 120) END AS name FROM (SELECT doc_id, regexp_extract(replace(coalesce(text, ''), chr(92), '/'), '[^/]*$') AS base FROM documents)")
 def safe_filename(t):
-    head = F.substring("text", 1, 200)
-    last = F.element_at(F.split(F.replace(head, F.lit("\\"), F.lit("/")), "/"), -1)
-    return t("documents").where(last != "").select("doc_id", N.safe_filename(head, (F.col("doc_id") % 100).cast("int")).alias("name"))
+    return t("documents").select("doc_id", N.safe_filename(F.col("text"), (F.col("doc_id") % 100).cast("int")).alias("name"))
+
+
+@query("safe_subdir", r"SELECT doc_id, coalesce(nullif(substr(regexp_replace(source || '/' || lang || ' ' || doc_id, '[^a-zA-Z0-9_.\-]', '_', 'g'), 1, 80), ''), '_') AS folder FROM documents")
+def safe_subdir(t):
+    return t("documents").select("doc_id", N.safe_subdir(F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(" "), F.col("doc_id").cast("string"))).alias("folder"))
 
 
 @query("attachment_hash", "SELECT doc_id, strlen(text) AS n_bytes, CASE WHEN strlen(text) <= 20000 THEN sha256(text) END AS sha256 FROM documents")
@@ -100,17 +114,29 @@ def attachment_hash(t):
     return t("documents").select("doc_id", n.alias("n_bytes"), F.when(n <= 20000, F.sha2(content, 256)).alias("sha256"))
 
 
-NAMES = ("공고문.hwp".encode().decode("latin-1"), "공고문.hwp".encode("cp949").decode("latin-1"), "AI·DX.pdf", "R&amp;amp;amp;D.hwp", "a%20b.pdf", "")
-HEADERS = ("attachment; filename=a&amp;b.hwp; size=10", "attachment; filename*=UTF-8''%EA%B0%80.hwp", 'attachment; filename="x;y.pdf"', "inline", None)
+#: How servers send a file name: as it is, with its references escaped twice, percent-encoded, or as bytes of an
+#: encoding read as Latin-1 (which only the first characters of a title are put through here).
+_TITLE = "regexp_replace(substr(text, 1, 40), '[^a-zA-Z0-9 ]', '_', 'g')"
 
 
-@query("filename_recover")
+@query("filename_recover", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN {_TITLE} || '.hwp' WHEN 1 THEN {_TITLE} || '&.hwp' WHEN 2 THEN {_TITLE} || ' .hwp' WHEN 3 THEN {_TITLE} || '·.hwp' ELSE {_TITLE} || '공고문.hwp' END AS name FROM documents")
 def filename_recover(t):
-    rows = t("region").sparkSession.createDataFrame(list(enumerate(NAMES)), "n int, name string")
-    return rows.select("n", N.filename_recover("name").alias("name"))
+    k = F.col("doc_id") % 5
+    title = F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z0-9 ]", "_")
+    latin = F.decode(F.encode(F.lit("공고문"), "UTF-8"), "ISO-8859-1")
+    end = F.when(k == 0, ".hwp").when(k == 1, "&amp;amp;.hwp").when(k == 2, "%20.hwp").when(k == 3, "·.hwp").otherwise(F.concat(latin, F.lit(".hwp")))
+    return t("documents").select("doc_id", N.filename_recover(F.concat(title, end)).alias("name"))
 
 
-@query("content_disposition")
+@query("content_disposition", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ltrim({_TITLE}) || '&b.hwp' WHEN 1 THEN '가' || doc_id || '.hwp' WHEN 2 THEN {_TITLE} || ';y.pdf' WHEN 3 THEN ltrim({_TITLE}) || '.txt' END AS name FROM documents")
 def content_disposition(t):
-    rows = t("region").sparkSession.createDataFrame(list(enumerate(HEADERS)), "n int, header string")
-    return rows.select("n", N.content_disposition("header").alias("name"))
+    k = F.col("doc_id") % 5
+    title = F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z0-9 ]", "_")
+    tail = (
+        F.when(k == 0, F.concat(F.lit("filename="), title, F.lit("&amp;amp;b.hwp; size=10")))
+        .when(k == 1, F.concat(F.lit("filename*=UTF-8''%EA%B0%80"), F.col("doc_id").cast("string"), F.lit(".hwp; filename=other")))
+        .when(k == 2, F.concat(F.lit('filename="'), title, F.lit(';y.pdf"')))
+        .when(k == 3, F.concat(F.lit("filename*=bad''%FF; filename="), title, F.lit(".txt")))
+        .otherwise("size=10")
+    )
+    return t("documents").select("doc_id", N.content_disposition(F.concat(F.lit("attachment; "), tail)).alias("name"))

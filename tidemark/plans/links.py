@@ -48,7 +48,7 @@ def url_slug(t):
 @query("robots_match", f"SELECT page_id, starts_with(p, '/en/1') OR regexp_matches(p, '^/.*/2.*\\.html$') OR starts_with(p, '/de/') OR regexp_matches(p, '^/fr/.*ref=x') AS blocked, NOT (starts_with(p, '/en/1') OR regexp_matches(p, '^/.*/2.*\\.html$') OR starts_with(p, '/de/') OR regexp_matches(p, '^/fr/.*ref=x')) AS allowed FROM (SELECT page_id, {_PATH} AS p FROM pages)")
 def robots_match(t):
     path = F.concat(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.coalesce(F.concat(F.lit("?"), F.try_parse_url("url", F.lit("QUERY"))), F.lit("")))
-    return t("pages").select("page_id", U.path_matches(path, PATTERNS).alias("blocked"), U.robots_allowed(PATTERNS)("url").alias("allowed"))
+    return t("pages").select("page_id", U.path_matches(path, PATTERNS).alias("blocked"), U.robots_allowed(PATTERNS)(F.col("url")).alias("allowed"))
 
 
 @query("redact", "SELECT page_id, replace(url, 'example', '<KEY>') AS url FROM pages")

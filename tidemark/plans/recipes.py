@@ -64,6 +64,53 @@ stats AS (SELECT f.source, s.stop_page, s.stop_reason, count(DISTINCT page_no) A
   FROM flagged f JOIN stop s ON f.source = s.source WHERE page_no <= stop_page GROUP BY 1, 2, 3)"""
 
 
+#: Sixteen scans of events, five rows a page, each ended in its own way (scan number: what its page is).
+ENDS = """
+ 0: ids repeat from page 5 on          8: cap at page 3
+ 1: page 3 answers 403                 9: page 2 is the last of its source
+ 2: page 4 is a refusal in disguise   10: other source, page 3 answers 401
+ 3: page 5 fails on the network       11: other source, page 4 fails
+ 4: page 6 answers 500                12: other source, page 1 has no row
+ 5: page 1 has no row                 13: other source, page 5 says it is the last
+ 6: page 7 has no row                 14: other source, page 6 answers 404
+ 7: page 4 is missing                 15: cap at page 6, nothing new on pages 5 and 6 alike
+"""
+
+
+def scans(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages and rows of the scans of ENDS."""
+    k, n = F.col("event_id") % 16, F.expr("event_id div 16")
+    rows = events.select(k.alias("k"), F.concat(F.lit("s"), k.cast("string")).alias("source"), F.expr("(event_id div 16) div 5 + 1").alias("page_no"), F.when(k.isin(0, 15), n % 20).otherwise(n).alias("id"))
+    rows = rows.where((F.col("k") != 9) | (F.col("page_no") <= 2))
+    pages = rows.groupBy("k", "source", "page_no").agg(F.lit(None).cast("string").alias("x")).drop("x").where("not (k = 7 and page_no = 4)")
+    at = lambda scan, page: (F.col("k") == scan) & (F.col("page_no") == page)
+    told = pages.select(
+        "source",
+        "page_no",
+        F.when(F.col("k").between(10, 14), "other").otherwise("main").alias("kind"),
+        F.when(at(1, 3), 403).when(at(4, 6), 500).when(at(10, 3), 401).when(at(14, 6), 404).when(at(3, 5) | at(11, 4), F.lit(None)).otherwise(200).alias("status"),
+        F.when(at(3, 5) | at(11, 4), "reset by peer").alias("error"),
+        at(2, 4).alias("blocked"),
+        (~at(13, 5)).alias("has_more"),
+        F.when(F.col("k") == 8, 3).when(F.col("k") == 15, 6).otherwise(40).cast("long").alias("max_pages"),
+    )
+    bad = at(1, 3) | at(2, 4) | at(3, 5) | at(4, 6) | at(5, 1) | at(6, 7) | at(7, 4) | at(10, 3) | at(11, 4) | at(12, 1) | at(14, 6)
+    return told, rows.where(~bad).select("source", "page_no", "id")
+
+
+#: The same ends worked out from the layout alone: what is collected when all pages are full.
+SCAN_ENDS = """
+r AS (SELECT event_id % 16 AS k, (event_id // 16) // 5 + 1 AS page_no, CASE WHEN event_id % 16 IN (0, 15) THEN (event_id // 16) % 20 ELSE event_id // 16 END AS id FROM events),
+f AS (SELECT k, page_no, id, min(page_no) OVER (PARTITION BY k, id) AS first_page FROM r),
+e(k, stop_page, stop_reason, read_to, status, fetched) AS (VALUES
+  (0, 6, 'no-new-2pages', 6, 'ok', 6), (1, 3, 'blocked', 0, 'manual', 2), (2, 4, 'blocked', 0, 'manual', 3), (3, 5, 'network-error', 4, 'partial', 4),
+  (4, 6, 'http-500', 5, 'partial', 5), (5, 1, 'parse-failure', 0, 'partial', 1), (6, 7, 'reached-total', 6, 'ok', 7), (7, 4, 'network-error', 3, 'partial', 3),
+  (8, 3, 'page-cap', 3, 'partial', 3), (9, 2, 'page-cap', 2, 'partial', 2), (10, 3, 'blocked', 0, 'manual', 2), (11, 4, 'error', 3, 'partial', 3),
+  (12, 1, 'error', 0, 'partial', 1), (13, 5, 'reached-total', 5, 'ok', 5), (14, 6, 'error', 5, 'partial', 5), (15, 6, 'no-new-2pages', 6, 'ok', 6)),
+s AS (SELECT 's' || e.k AS source, e.stop_page, e.stop_reason, e.fetched AS pages_fetched, count(*) FILTER (WHERE page_no <= read_to AND first_page = page_no) AS collected, count(*) FILTER (WHERE page_no <= read_to AND first_page < page_no) AS duplicates, e.status
+  FROM e JOIN f ON f.k = e.k GROUP BY ALL)"""
+
+
 def dates(orders: DataFrame) -> DataFrame:
     """Order dates in the ways sites write them."""
     k, day = F.col("o_orderkey"), F.col("o_orderdate")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import manifest as M
 from ..operators import scan as S
 from ..sources import api as A
-from .recipes import API, PAGED, TODAY, api_rows, paged
+from .recipes import API, PAGED, SCAN_ENDS, TODAY, api_rows, paged, scans
 from .registry import query
 
 ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -43,6 +43,38 @@ def coverage_status(t):
     return S.coverage(S.crawl_stats(paged(t("documents")))).select("source", "stop_reason", "collected", "status", "exit_code")
 
 
+@query("stop_reasons", f"WITH {SCAN_ENDS} SELECT source, CAST(stop_page AS BIGINT) AS stop_page, stop_reason, CAST(pages_fetched AS BIGINT) AS pages_fetched, collected, duplicates, status, CAST(CASE status WHEN 'ok' THEN 0 WHEN 'partial' THEN 2 ELSE 3 END AS INTEGER) AS exit_code FROM s")
+def stop_reasons(t):
+    made = S.coverage(S.controlled(*scans(t("events"))), least=1)
+    return made.select("source", "stop_page", "stop_reason", "pages_fetched", "collected", F.when(F.col("stop_reason") == "blocked", 0).otherwise(F.col("duplicates")).cast("long").alias("duplicates"), "status", "exit_code")
+
+
+@query(
+    "api_outcomes",
+    "WITH a AS (SELECT 'a' || (o_orderkey % 8) AS source, count(*) AS total, count(*) // 10 AS whole FROM orders GROUP BY 1) SELECT source, CAST(CASE source WHEN 'a0' THEN CASE WHEN total % 10 > 0 THEN whole + 1 ELSE whole END WHEN 'a1' THEN 3 WHEN 'a2' THEN 2 WHEN 'a3' THEN 9 WHEN 'a4' THEN 4 WHEN 'a5' THEN 3 WHEN 'a6' THEN 5 ELSE 2 END AS BIGINT) AS stop_page, CASE source WHEN 'a0' THEN 'api' WHEN 'a1' THEN 'blocked' WHEN 'a2' THEN 'blocked' WHEN 'a3' THEN 'api-window' END AS stop_reason FROM a",
+)
+def api_outcomes(t):
+    """Eight API scans of ten rows a page: all seen; 403; disguised; eight closed pages after an open one; total
+    changes; a page missing; an empty page; an error."""
+    from pyspark.sql import Window
+
+    own = t("orders").select(F.concat(F.lit("a"), (F.col("o_orderkey") % 8).cast("string")).alias("source"), (F.row_number().over(Window.partitionBy(F.col("o_orderkey") % 8).orderBy("o_orderkey")) - 1).alias("n"))
+    pages = own.groupBy("source", F.expr("n div 10 + 1").alias("page_no")).agg(F.count(F.lit(1)).alias("n_rows"))
+    total = own.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    at = lambda s, p: (F.col("source") == s) & (F.col("page_no") == p)
+    told = pages.join(total, "source").where(~at("a5", 2)).select(
+        "source",
+        "page_no",
+        F.when(at("a6", 5), 0).otherwise(F.col("n_rows")).alias("n_rows"),
+        F.when((F.col("source") == "a3") & (F.col("page_no") > 1), 0).otherwise(5).alias("n_open"),
+        (F.col("total") + F.when((F.col("source") == "a4") & (F.col("page_no") > 3), 1).otherwise(0)).alias("total"),
+        F.when(at("a1", 3), 403).otherwise(200).alias("status"),
+        F.when(at("a7", 2), "timeout").alias("error"),
+        at("a2", 2).alias("blocked"),
+    )
+    return S.api_outcome(told, 10)
+
+
 def _today():
     return F.to_date(F.lit(TODAY))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.files import html_payload
+from ..functions.text import looks_blocked
 from ..operators import scan
 from .specs import SPECS, read_list
 
@@ -19,11 +20,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_source(pages: DataFrame, name: str, max_pages: int | None = None, smoke: bool = False, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Rows of one source up to the page where its scan stops, the last of each id, and its coverage row."""
-    rows = read_list(pages.where(F.col("source") == name), SPECS[name]).withColumn("id", F.col("source_id"))
-    stats = scan.crawl_stats(rows, max_pages)
-    held = rows.join(stats.select("source", "stop_page"), "source").where(F.col("page_no") <= F.col("stop_page"))
-    return scan.dedup(held, ["source", "id"], ["page_no", "row_no"], "last").drop("id", "stop_page"), scan.coverage(stats, least, smoke)
+    """Rows of one source up to the page where its scan stops, the last of each id, and its coverage row, which
+    tells refused, failed, missing and empty pages too."""
+    own = pages.where(F.col("source") == name)
+    rows = read_list(own, SPECS[name]).withColumn("id", F.col("source_id"))
+    asked = own.select("source", "page_no", "status", F.lit("other").alias("kind"), looks_blocked(F.col("html")).alias("blocked"), F.lit(max_pages).cast("long").alias("max_pages"))
+    stats = scan.coverage(scan.controlled(asked, rows), least, smoke)
+    kept = F.broadcast(stats.where("collected > 0").select("source", "stop_page"))  # one row
+    held = rows.join(kept, "source").where(F.col("page_no") <= F.col("stop_page"))
+    return scan.dedup(held, ["source", "id"], ["page_no", "row_no"], "last").drop("id", "stop_page"), stats
 
 
 def read_attachments(spark: SparkSession, path: str, cap: int = ATTACHMENT_CAP) -> DataFrame:

@@ -108,7 +108,7 @@ SPECS = {
             "https://www.smtech.go.kr",
             ("=www.smtech.go.kr", "=smtech.go.kr"),
             r"ancmId=([A-Za-z0-9]+)",
-            ((r'<div[^>]+id="subcontent"',), FOOT[::-1]),
+            ((r'<div[^>]+id="subcontent"',), FOOT),
             ("/SBA/SA/SbjtAppl_selectSbjtApplList.do", "/SBA/ETC/RechSbjtAppl_forwardRechSbjtApplList.do?RECH_ANCM_ID=S20131", "/csg/qn/qna_list.do", "/front/nmbi/", "/nmbi/"),
             {"field": lambda r: cell(r, 1), "org": lambda r: F.lit("SMTECH(중소기업기술정보진흥원)"), "reg_date": lambda r: first_cell(r, lambda t: F.regexp_like(t, F.lit(r"^\d{4}-\d{2}-\d{2}$"))), **_period(lambda r: first_cell(r, lambda t: F.contains(t, F.lit("~"))))},
         ),
@@ -132,6 +132,10 @@ def read_list(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     return found.select(F.lit(spec.name).alias("source"), F.col("id").alias("source_id"), title.alias("title"), *(own[c].alias(c) for c in ("field", "org", "apply_start", "apply_end", "reg_date")), url.alias("url"), "page_no", "row_no")
 
 
+def _after_first(pieces: Column) -> Column:
+    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
 LIST_HEAD, LIST_ITEM = 'id="bizPbancList"', r'<li class="notice">|<li >|<li>'
 
 
@@ -139,7 +143,7 @@ def read_main_list(pages: DataFrame, name: str = "kstartup", detail: str = "http
     """Announcement rows of the portal whose list follows a carousel: only what comes after the list's head."""
     at = F.instr("html", LIST_HEAD)
     body = F.when(at > 0, F.substring(F.col("html"), at, F.length("html")))
-    items = pages.select("page_no", F.posexplode(F.slice(F.split(body, LIST_ITEM), 2, 100_000)).alias("row_no", "row")).withColumn("id", F.regexp_extract("row", r"go_view\((\d+)\)", 1)).where("id <> ''")
+    items = pages.select("page_no", F.posexplode(_after_first(F.split(body, LIST_ITEM))).alias("row_no", "row")).withColumn("id", F.regexp_extract("row", r"go_view\((\d+)\)", 1)).where("id <> ''")
     one = lambda p: X.squeeze(F.regexp_extract("row", p, 1))
     spans = F.transform(F.regexp_extract_all("row", F.lit(r'<span class="list"><i[^>]*></i>([^<]+)</span>'), F.lit(1)), X.squeeze)
     nth = lambda k: X.unescape(F.coalesce(F.get("spans", F.lit(k)), F.lit("")))
@@ -184,7 +188,7 @@ def attachments(page: Column, source: str) -> Column:
     elif tail:
         made = F.transform(F.arrays_zip(group(1).alias("a"), group(2).alias("b")), lambda z: F.struct(F.concat(F.lit(base), X.unescape(z["a"])).alias("url"), F.nullif(X.clean(F.regexp_replace(F.regexp_replace(z["b"], tail, ""), "<[^>]+>", " ")), F.lit("")).alias("filename")))
     elif source == "kstartup":
-        blocks = F.slice(F.split(page, '<li class="clear">'), 2, 100_000)
+        blocks = _after_first(F.split(page, '<li class="clear">'))
         one = lambda b, p: F.nullif(F.regexp_extract(b, p, 1), F.lit(""))
         made = F.filter(F.transform(blocks, lambda b: F.struct(F.concat(F.lit(base), X.unescape(one(b, pattern))).alias("url"), F.coalesce(X.unescape(one(b, r'class="file_bg"[^>]*>\s*([^<]+?)\s*</a>')), F.substring_index(one(b, pattern), "/", -1)).alias("filename"))), lambda f: f["url"].isNotNull())
     else:
