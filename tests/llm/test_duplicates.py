@@ -43,6 +43,16 @@ def test_word_windows(docs, rows):
     assert {r.lang for r in got} == {"en", None}
 
 
+def test_cut_texts_keep_their_layout(docs, rows):
+    got = substring_dedup.remove_repeats(docs, layout=True).collect()
+    for r in got:
+        t = r.text or ""
+        at = [m.start() for m in WORD.finditer(t)] + [len(t)]
+        gone = [range(at[s.first], at[s.end]) for s in r.removed]
+        assert r.cut_text == "".join(c for k, c in enumerate(t) if not any(k in g for g in gone))
+        assert WORD.findall(r.cut_text) == r.kept_text.split(" ") * (r.kept_text != "")
+
+
 def test_word_windows_digest_and_empty(docs, rows, no_docs):
     want = Counter((i, n, m, hashlib.sha256(t.encode()).hexdigest()) for (i, n, m, t), k in brute_windows(rows, 13).items() for _ in range(k))
     assert Counter(map(tuple, substring_dedup.digest(docs).collect())) == want

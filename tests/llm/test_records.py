@@ -131,12 +131,12 @@ def brute_items(text, items, size=8):
     w = words(text)
     hit, found = [False] * len(w), set()
     for name, body in items:
-        own = words(body) if name is not None else []
+        own = words(body)
         for k in range(max(1, len(own) - size + 1) if own else 0):
             v = own[k : k + size]
             for j in range(len(w) - len(v) + 1):
                 if w[j : j + len(v)] == v:
-                    found.add(str(name))
+                    found |= {str(name)} if name is not None else set()
                     hit[j : j + len(v)] = [True] * len(v)
     return len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2
 

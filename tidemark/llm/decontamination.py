@@ -5,17 +5,22 @@ consecutive words of an item, or the whole of a shorter one. Each text is scanne
 form (words between single spaces), so all windows of all items are met in one pass; hits are mapped back
 to offsets in the original text.
 
-The benchmark is streamed to the driver and cut into blocks of at most BLOCK_BYTES of distinct windows.
-A block becomes one automaton, built once in each task. A benchmark of one block, the usual case, costs one
-scan and no shuffle; a larger one is scanned block by block, with a written table between blocks.
-
-Defined results: null texts have no words and no hits; items without words or with a null id match
-nothing; rows that repeat an item_id are one item; an empty benchmark leaves every text clean; an empty
+The benchmark is streamed to the driver and cut into blocks of at most BLOCK_BYTES of distinct windows, which
+bounds an automaton's nodes (about 45 bytes of memory for each byte: under 200 MB). A block travels as a
+broadcast of that bound and becomes one automaton, built once in each Python worker. A benchmark of one block, the
+usual case, costs one scan and no shuffle; a larger one is scanned block by block, with a written table between
+blocks.
+
+Defined results: null texts have no words and no hits; items without words match nothing; windows of items with
+a null id mark words but name no item; rows that repeat an item_id are one item; a very long text is one batch
+and costs a few times its size; an empty benchmark leaves every text clean; an empty
 table gives an empty result. Columns of the input named like a result are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +30,7 @@ from pyspark.sql import types as T
 from .staging import cut, fresh, staged
 
 SIZE = 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 MADE = ("n_words", "n_hit", "items", "spans")
 #: Bytes that are part of no word become spaces; A-Z become a-z.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -47,12 +52,14 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, size: int, block_bytes
     names: dict[str, int] = {}
     block: dict[bytes, set[int]] = {}
     held = 0
-    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        k = names.setdefault(row.i, len(names))
+    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator():
+        k = None if row.i is None else names.setdefault(row.i, len(names))
         for window in item_windows(row.t, size):
             if window not in block:
                 held += len(window)
-            block.setdefault(window, set()).add(k)
+            own = block.setdefault(window, set())
+            if k is not None:
+                own.add(k)
         if held >= block_bytes:
             yield block, names
             block, held = {}, 0
@@ -60,18 +67,37 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, size: int, block_bytes
         yield block, names
 
 
-def _scan(block, names):
-    """A mapInArrow function that adds one block's hits to item numbers and word marks so far."""
-    patterns = [(w.decode("latin-1"), (w.count(b" ") - 1, sorted(k))) for w, k in block.items()]
-    ids = list(names)
+_built: dict[str, object] = {}
 
-    def scan(batches, text, before):
+
+def automaton_of(patterns):
+    """The automaton of a broadcast block; a worker keeps the last one it built for its next tasks."""
+    if patterns.id not in _built:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for pattern, what in patterns:
+        for pattern, what in patterns.block.value:
             automaton.add_word(pattern, what)
         automaton.make_automaton()
+        _built.clear()
+        _built[patterns.id] = automaton
+    return _built[patterns.id]
+
+
+class Patterns:
+    """A block of windows as a broadcast, and a name that is its own."""
+
+    def __init__(self, spark, block):
+        self.id = uuid.uuid4().hex
+        self.block = spark.sparkContext.broadcast([(w.decode("latin-1"), (w.count(b" ") - 1, sorted(k))) for w, k in block.items()])
+
+
+def _scan(patterns: Patterns, names):
+    """A mapInArrow function that adds one block's hits to item numbers and word marks so far."""
+    ids = list(names)
+
+    def scan(batches, text, before):
+        automaton = automaton_of(patterns)
         for batch in cut(batches, text):
             at = batch.schema.get_field_index(text)
             old_items, old_spans = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("items", "spans")) if before else (None, None)
@@ -128,7 +154,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))])
     before = False
     for block, names in blocks_of(benchmark, item, item_text, size, block_bytes):
-        scan = _scan(block, names)
+        scan = _scan(Patterns(docs.sparkSession, block), names)
         if before:
             docs = staged(docs, "decontamination")
         docs = docs.mapInArrow(lambda batches, scan=scan, before=before: scan(batches, text, before), out)

@@ -140,37 +140,41 @@ def sets_of(docs: DataFrame, id_column: str, text: str, size: int, percent: int,
     return staged(made, "sets")
 
 
-def first_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of the first round: classes and their leaders, within groups and within posting lists. Rank:
-    share of unshared shingles, then a hash. Lists are salted and their leaders meet once more."""
+def first_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the first round that sizes allow: classes and their leaders, within groups and within posting
+    lists. Rank: share of unshared shingles, then a hash. Lists are salted and their leaders meet once more."""
+    kept = ("id", "n", "shared", "rank")
 
     def stars(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-        """Pairs of id and leader within each group, and the leader's row of each group."""
+        """Pairs of a class and its leader within each group, and the leader's row of each group."""
         salted = rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        own = Window.partitionBy(group, "__salt")
-        near = salted.withColumn("b", F.min_by("id", "rank").over(own))
-        tops = near.where(F.col("id") == F.col("b")).drop("b", "__salt")
-        all_ = Window.partitionBy(group)
-        far = tops.withColumn("b", F.min_by("id", "rank").over(all_))
-        pairs = near.select(F.col("id").alias("a"), "b").unionByName(far.select(F.col("id").alias("a"), "b")).where(F.col("a") != F.col("b"))
-        return pairs, far.where(F.col("id") == F.col("b")).drop("b")
+
+        def led(df: DataFrame, *by: str) -> DataFrame:
+            return df.withColumn("b", F.min_by(F.struct("id", "n", "shared"), "rank").over(Window.partitionBy(*by)))
+
+        near = led(salted, group, "__salt")
+        far = led(near.where(F.col("id") == F.col("b.id")).drop("b", "__salt"), group)
+        pairs = near.select("id", "n", "shared", "b").unionByName(far.select("id", "n", "shared", "b"))
+        able = pairs.where((F.col("id") != F.col("b.id")) & linked(F.least("shared", "b.shared"), F.col("n"), F.col("b.n"), percent))
+        return able.select(F.least("id", "b.id").alias("a"), F.greatest("id", "b.id").alias("b")), far.where(F.col("id") == F.col("b.id")).drop("b")
 
     rank = F.round(F.lit(1.0) - F.col("shared") / F.col("n"), 3) + F.pmod(F.xxhash64("id"), F.lit(2**40)) / F.lit(2.0**52)
-    in_groups, heads = stars(classes.select("family", "id", rank.alias("rank")), "family")
-    posted = heads.select("id", "rank").join(classes.select("id", "top"), "id").select("id", "rank", F.explode("top").alias("token"))
+    in_groups, heads = stars(classes.select("family", "id", "n", "shared", rank.alias("rank")), "family")
+    posted = heads.select(*kept).join(classes.select("id", "top"), "id").select(*kept, F.explode("top").alias("token"))
     in_lists, _ = stars(posted, "token")
-    pairs = in_groups.unionByName(in_lists)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return in_groups.unionByName(in_lists).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, n_a, n_b, overlap of the pairs that reach the threshold."""
+    """a, b, n_a, n_b, overlap of the pairs that reach the threshold. A class with many partners, as a leader
+    has, is dealt by a hash of the partner: its shingles go to each (class, salt) that is wanted once."""
 
-    def side(c: str, *more: str) -> DataFrame:
-        return classes.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", *more)))
+    def with_side(df: DataFrame, c: str, other: str) -> DataFrame:
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(graph.SALTS)))
+        wanted = salted.select(c, "__salt").distinct().join(classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")), c)
+        return salted.join(wanted, [c, "__salt"]).drop("__salt")
 
-    able = pairs.join(side("a", "shared"), "a").join(side("b", "shared"), "b").where(linked(F.least("shared_a", "shared_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    met = able.join(side("a", "own"), "a").join(side("b", "own"), "b")
+    met = with_side(with_side(pairs, "a", "b"), "b", "a")
     overlap = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("overlap"))
     return overlap.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent))
 
@@ -262,7 +266,7 @@ def _judged(sets: DataFrame, id_column: str, percent: int) -> DataFrame:
     """The rows of sets with what components() tells of them, and what tells components of one smallest id
     apart: label or, for a class that is linked with no other, key. Both are null for a text without words."""
     classes = classes_of(sets)
-    first = staged(verified(first_pairs(classes), classes, percent).select("a", "b"), "links")
+    first = staged(verified(first_pairs(classes, percent), classes, percent).select("a", "b"), "links")
     labels = graph.components(first)
     labelled = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     second = verified(block_pairs(labelled, percent), classes, percent).select("a", "b")

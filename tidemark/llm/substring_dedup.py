@@ -33,7 +33,7 @@ from . import sketch
 from .staging import cut, fresh, text_bytes
 
 SIZE = 13
-MADE = ("n_words", "n_removed", "kept_text", "removed")
+MADE = ("n_words", "n_removed", "kept_text", "removed", "cut_text")
 LAST = np.iinfo(np.int64).max
 #: Bytes a word and its space are expected to take: one window begins at each word.
 WORD_BYTES = 5
@@ -96,9 +96,10 @@ def distinct(a, b, ids):
     return sa[new], sb[new], ids[order][new], place
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, spans: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, spans: bool = True, layout: bool = False) -> DataFrame:
     """The rows of docs with n_words, n_removed, kept_text (kept words joined by one space) and, if asked
-    for, removed: runs of removed words as structs of first word and end."""
+    for, removed: runs of removed words as structs of first word and end; and cut_text: the text as it is, without
+    the removed words and the white space that follows them."""
     docs = fresh(docs, *MADE)
     grid = sketch.grid(docs.sparkSession, text_bytes(docs, text), WORD_BYTES)
     dealt = sketch.dealt(docs, id_column, text, grid, 2 * size - 1)
@@ -134,6 +135,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     if spans:
         out = out.add("removed", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))
+    if layout:
+        out = out.add("cut_text", T.StringType())
     kept_columns = docs.columns
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -144,10 +147,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         if len(firsts):
             gone[keep] = sketch.bits_told(answers, EXACT, firsts, grid)[place] | (least[place] < own.ids)
         done, made = 0, []
-        for piece, (data, _, starts, ends, first), begin in own.pieces:
+        for piece, (data, at, starts, ends, first), begin in own.pieces:
             hit = K.covered(begin[gone[done : done + len(begin)]], size, len(starts))
             done += len(begin)
-            made.append(_kept(piece.select(kept_columns), data, starts, ends, first, hit, spans))
+            made.append(_kept(piece.select(kept_columns), data, starts, ends, first, hit, spans, at if layout else None))
         return pa.Table.from_batches(made)
 
     sent = dealt.groupBy("__bucket").applyInArrow(send_keys, sketch.PACKET_DDL)
@@ -157,7 +160,25 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     return dealt.groupBy("__bucket").cogroup(maybe.unionByName(exact).groupBy("bucket")).applyInArrow(judge, out)
 
 
-def _kept(batch, data, starts, ends, first, hit, spans):
+def _cut(data, at, starts, first, hit):
+    """The texts without the words that are hit, each up to the next word or the end of its text."""
+    stop = np.append(starts[1:], at[-1])
+    last = first[1:] - 1
+    own = first[1:] > first[:-1]
+    stop[last[own]] = at[1:][own] - 1
+    step = np.zeros(len(data) + 1, np.int32)
+    np.add.at(step, starts[hit], 1)
+    np.add.at(step, stop[hit], -1)
+    keep = np.cumsum(step[:-1]) == 0
+    keep[at[1:] - 1] = False
+    keep[at[-1] :] = False
+    size = np.concatenate([[0], np.cumsum(keep)])[at].tolist()
+    out = data[keep].tobytes()
+    return pa.array([out[lo:hi] for lo, hi in zip(size[:-1], size[1:])], pa.binary()).cast(pa.string())
+
+
+def _kept(batch, data, starts, ends, first, hit, spans, at=None):
+    whole = None if at is None else _cut(data, at, starts, first, hit)
     keep = ~hit
     step = np.zeros(len(data) + 1, np.int8)
     step[starts[keep]] += 1
@@ -179,6 +200,9 @@ def _kept(batch, data, starts, ends, first, hit, spans):
             runs.append([{"first": x, "end": y} for x, y in zip(edge[0::2], edge[1::2])])
         columns.append(pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))))
         names.append("removed")
+    if whole is not None:
+        columns.append(whole)
+        names.append("cut_text")
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
