@@ -1,8 +1,10 @@
 """Corpus pipeline over documents: each stage applies one operator to all that its predecessor kept.
 
 Quality rules drop what they reject; of each group of near duplicates the document with the smallest doc_id
-stays; repeated passages are cut from all but their first document; documents that hold two or more benchmark
-items are dropped and a single item's passage is cut out; what is left is packed into sequences of tokens.
+stays; repeated passages are cut, with the white space after them, from all but their first document, whose
+lines otherwise stay; documents that hold two or more benchmark
+items are dropped and a single item's passage is cut out; what is left is packed into sequences of tokens, whose
+ids the result holds.
 
 A stage that changes a text sets n_chars to its new length. Defined results for odd rows (nulls, empty and
 repeated ones) are those of the operators; no stage but the first two and the fourth drops a row, and those
@@ -35,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = substring_dedup.remove_repeats(docs, spans=False)
-    return _with_text(made, docs, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    made = substring_dedup.remove_repeats(docs, spans=False, layout=True)
+    return _with_text(made, docs, F.when(F.col("n_removed") > 0, F.col("cut_text")).otherwise(F.col("text")))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, ids=True)
 
 
 STAGES = [
