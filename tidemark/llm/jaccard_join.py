@@ -167,14 +167,17 @@ def first_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b, n_a, n_b, overlap of the pairs that reach the threshold. A class with many partners, as a leader
-    has, is dealt by a hash of the partner: its shingles go to each (class, salt) that is wanted once."""
+    has, is dealt by a hash of the partner: its shingles go to each (class, salt) that is wanted once. The pairs are
+    written first, as they are read more than once."""
 
-    def with_side(df: DataFrame, c: str, other: str) -> DataFrame:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(graph.SALTS)))
-        wanted = salted.select(c, "__salt").distinct().join(classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")), c)
-        return salted.join(wanted, [c, "__salt"]).drop("__salt")
+    salt = lambda other: F.pmod(F.xxhash64(other), F.lit(graph.SALTS))
+    own = staged(pairs.select("a", "b", salt("b").alias("salt_a"), salt("a").alias("salt_b")), "pairs")
 
-    met = with_side(with_side(pairs, "a", "b"), "b", "a")
+    def side(c: str) -> DataFrame:
+        there = classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}"))
+        return own.select(c, f"salt_{c}").distinct().join(there, c)
+
+    met = own.join(side("a"), ["a", "salt_a"]).join(side("b"), ["b", "salt_b"])
     overlap = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("overlap"))
     return overlap.where(linked(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent))
 
