@@ -270,22 +270,50 @@ def test_feistel_is_a_permutation(n, key):
     assert sorted(got.tolist()) == list(range(n))
 
 
-def test_training_order_round_trip(docs, rows, no_docs):
-    made = training_order.shards(docs, per_shard=16, length=64).cache()
-    got = training_order.contents(made, 16, 64).toPandas()
-    assert sorted(got.slot) == list(range(len(got)))
-    assert (got.shard == got.slot // 16).all() and (got.byte_offset == got.slot % 16 * training_order.stride(64)).all()
-    packed = packing.pack(docs, length=64).toPandas()
-    key = lambda df: Counter(map(tuple, df[["doc_id", "piece", "ids_crc32"]].fillna(-1).astype(int).values.tolist()))
-    assert key(got) == key(packed)
+def brute_slots(rows, length, key):
+    """(doc_id, piece, crc) by slot: sequences sorted by id, hash of the text and place, then permuted."""
+    import xxhash
+
+    encode = tokens.encoder()
+    mark = lambda t: int(np.array([xxhash.xxh64_intdigest((t or "").encode(), 42)], np.uint64).view(np.int64)[0])
+    made = []
+    for doc, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, mark(r[1]))):
+        ids = np.array([*encode(text or ""), 2], "<u4")
+        begins = tokens.cuts(len(ids), length)
+        made += [(doc, k, zlib.crc32(ids[lo:hi].tobytes())) for k, (lo, hi) in enumerate(zip(begins, [*begins[1:], len(ids)]))]
+    slots = training_order.feistel(np.arange(len(made)), len(made), key)
+    return dict(zip(slots.tolist(), made))
+
+
+def test_training_order_against_brute_force(docs, rows, no_docs, spark, tmp_path):
+    path = str(tmp_path / "shards")
+    made = training_order.shards(docs, per_shard=16, length=64, path=path)
+    found = lambda df: {r.slot: (r.doc_id, r.piece, r.ids_crc32) for r in df.collect()}
+    got = training_order.contents(made, 16, 64)
+    want = brute_slots(rows, 64, training_order.KEY)
+    assert found(got) == want and got.count() == len(want)
+    assert got.where("shard != slot div 16 or byte_offset != slot % 16 * " + str(training_order.stride(64))).count() == 0
     for r in made.collect():
         assert len(r.payload) == r.n_slots * training_order.stride(64) and r.first_slot == r.shard * 16
-    again = training_order.contents(training_order.shards(docs, key=5, per_shard=16, length=64, few_files=1), 16, 64)
-    assert sorted(r.slot for r in again.select("slot").collect()) == list(range(len(got)))
-    assert again.count() == len(got)
+        doc, piece, ids = training_order.read_slot(r.payload, r.first_slot, 16, 64)
+        assert (doc, piece, zlib.crc32(ids.astype("<u4").tobytes())) == want[r.first_slot]
+    # a run that stopped goes on from any slot of the written files
+    for first in (1, 37, len(want) - 1, len(want)):
+        assert found(training_order.resumed(spark, path, first, 16, 64)) == {s: v for s, v in want.items() if s >= first}
+    # another partitioning, and more ranges than travel in a closure, give the same order
+    again = training_order.shards(docs.repartition(7, "text"), per_shard=16, length=64, few_ranges=1)
+    assert found(training_order.contents(again, 16, 64)) == want
+    other = training_order.contents(training_order.shards(docs, key=5, per_shard=16, length=64), 16, 64)
+    assert found(other) == brute_slots(rows, 64, 5)
     assert training_order.contents(training_order.shards(no_docs)).count() == 0
 
 
+def test_training_order_of_a_long_text(spark):
+    rows = [(k, t) for k, t in [(1, "word 日本 " * 60_000), (None, None), (2, ""), (None, None)]]
+    made = training_order.contents(training_order.shards(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {r.slot: (r.doc_id, r.piece, r.ids_crc32) for r in made.collect()} == brute_slots(rows, tokens.LENGTH, training_order.KEY)
+
+
 # 4: URL filter
 
 

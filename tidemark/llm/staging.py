@@ -25,12 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: later stages read the files, so a
-    lost executor costs a re-read and never a recomputation of what led here."""
+#: Spark's own switch: shuffle files of a query are removed when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
+    """df written once as Parquet to the shared folder, or the folder named, and read back: later stages read the
+    files, so a lost executor costs a re-read and never a recomputation of what led here. Shuffle files that led
+    to the table are removed once it stands, as nothing reads them again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

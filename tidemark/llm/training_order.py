@@ -1,15 +1,17 @@
 """Training-order materialisation: every token sequence gets a global slot, and shards hold the slots in order.
 
-Sequences are numbered densely (rows of the written token table, file by file), and a keyed Feistel network
-permutes the numbers; a result beyond the last number walks the cycle until it falls within. The order is
-thus a pure function of key and number: nothing is sorted at random, any slot can be found without the
-others, and a run can resume at any slot. Slots are range-partitioned, and each range writes shards of
-`per_shard` records of one fixed stride, so slot s is at byte (s % per_shard) * stride of shard s // per_shard.
+Sequences are written once, ordered by id, a hash of the text and the place in it, and numbered densely in that
+order. A keyed Feistel network permutes the numbers; a result beyond the last number walks the cycle until it falls
+within. The order is thus a pure function of key and number, the same however the input is partitioned: nothing is
+sorted at random and any slot can be found without the others. Slots are dealt to ranges of one width, and each range
+writes a file of shards of `per_shard` records of one fixed stride, so slot s is at byte (s % per_shard) * stride
+of shard s // per_shard. A reader goes through the files in order and can begin at any slot.
 
 A record: doc_id (int64), piece (int32), number of ids (int32), ids (uint16), zeros up to the stride.
 
-Defined results: a null or empty text is a sequence of the end token alone; a null doc_id is written as
--2**63; repeated rows are sequences of their own; an empty table gives no shard.
+Defined results: a null or empty text is a sequence of the end token alone; a null doc_id comes first and is written
+as -2**63; repeated rows are sequences of their own, with neighbouring numbers; a long text is many sequences; an
+empty table gives no shard; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -17,17 +19,22 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import tokens
-from .staging import staged
+from .staging import staged, text_bytes
 
 KEY = 20_251_126
 PER_SHARD = 1024
-FEW_FILES = 20_000
+#: Up to so many ranges, the number each begins with travels in the closure (8 bytes each).
+FEW_RANGES = 20_000
+RANGE_BYTES = 64 << 20
+SHARDS_A_FILE = 32
 HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n", "<i4")])
 NULL = -(2**63)
 ROUNDS = 6
@@ -55,27 +62,41 @@ def stride(length: int) -> int:
     return HEAD.itemsize + 2 * length
 
 
-def shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text", key: int = KEY, per_shard: int = PER_SHARD, vocabulary: str = tokens.VOCABULARY, end: int | None = tokens.END, length: int = tokens.LENGTH, few_files: int = FEW_FILES) -> DataFrame:
-    """One row a shard: shard, first_slot, n_slots, payload."""
-    cast = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = staged(cast.mapInArrow(tokens.pieces("doc_id", "text", vocabulary, end, length, True), tokens.PIECE_DDL + ", ids binary"), "sequences")
-    rows = table.select("doc_id", "piece", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line"))
-    # one name and number for each written file reaches the driver; the names go back to tasks while they are few
-    found = sorted((r["file"], r["count"]) for r in rows.groupBy("file").count().toLocalIterator())
+def sequences(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = tokens.VOCABULARY, end: int | None = tokens.END, length: int = tokens.LENGTH) -> DataFrame:
+    """The pieces of all texts, written in the order of their numbers: by id (null first), a hash of the text and
+    the place in it, however the input is partitioned. Rows equal in both are equal sequences; those of one input
+    partition stay together, so that many of them still spread over ranges."""
+    spark = docs.sparkSession
+    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = own.withColumn("mark", F.xxhash64("text")).withColumn("origin", F.spark_partition_id())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(own) // RANGE_BYTES))
+    ranged = keyed.repartitionByRange(parts, "doc_id", "mark", "origin").sortWithinPartitions("doc_id", "mark")
+    made = ranged.select("doc_id", "text").mapInArrow(tokens.pieces("doc_id", "text", vocabulary, end, length, True), tokens.PIECE_DDL + ", ids binary")
+    return staged(made.select("doc_id", "piece", "ids").withColumn("range", F.spark_partition_id()), "sequences", compression="zstd", maxRecordsPerFile=0)
+
+
+def shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text", key: int = KEY, per_shard: int = PER_SHARD, vocabulary: str = tokens.VOCABULARY, end: int | None = tokens.END, length: int = tokens.LENGTH, few_ranges: int = FEW_RANGES, path: str | None = None) -> DataFrame:
+    """Writes the shards to path (a folder of the shared one if none is named) and returns them as read back: one row
+    a shard (shard, first_slot, n_slots, payload); each file holds a range of shards in order."""
+    rows = sequences(docs, id_column, text, vocabulary, end, length).select("doc_id", "piece", "ids", "range", F.col("_metadata.row_index").alias("line"))
+    # one number for each range reaches the driver; the numbers go back to tasks while they are few
+    found = sorted((r["range"], r["count"]) for r in rows.groupBy("range").count().toLocalIterator())
     ends = np.cumsum([n for _, n in found])
     total = int(ends[-1]) if found else 0
-    skips = list(zip([f for f, _ in found], [0, *ends[:-1].tolist()]))
-    few = len(found) <= few_files
-    before = dict(skips) if few else {}
-    if not few:
-        rows = rows.join(docs.sparkSession.createDataFrame(skips, "file string, skip long"), "file")
-
-    def number(batches):
-        for batch in batches:
-            at = {n: k for k, n in enumerate(batch.schema.names)}
-            skip = np.array([before[f] for f in batch.column(at["file"]).to_pylist()], np.int64) if few else batch.column(at["skip"]).to_numpy(zero_copy_only=False)
-            slot = feistel(skip + batch.column(at["line"]).to_numpy(zero_copy_only=False), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), *(batch.column(at[c]) for c in ("doc_id", "piece", "ids"))], names=["shard", "slot", "doc_id", "piece", "ids"])
+    skips = list(zip([k for k, _ in found], [0, *ends[:-1].tolist()]))
+    if few := len(found) <= few_ranges:
+        before = np.zeros(skips[-1][0] + 1 if found else 1, np.int64)
+        for k, skip in skips:
+            before[k] = skip
+        rows = rows.withColumn("skip", F.lit(0).cast("long"))
+    else:
+        before = np.zeros(1, np.int64)
+        rows = rows.join(docs.sparkSession.createDataFrame(skips, "range int, skip long"), "range")
+
+    @F.pandas_udf("long")
+    def slot_of(part: pd.Series, skip: pd.Series, line: pd.Series) -> pd.Series:
+        begins = before[part.to_numpy()] if few else skip.to_numpy()
+        return pd.Series(feistel(begins + line.to_numpy(), total, key))
 
     size = stride(length)
 
@@ -87,22 +108,30 @@ def shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text", key:
             return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([first]), pa.array([n]), pa.array([bytes(held[: n * size])], pa.binary())], schema=schema)
 
         for batch in batches:
-            for own, slot, doc, piece, ids in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if own != shard:
+            slots, docs_, pieces_, ids_ = (batch.column(k) for k in range(4))
+            heads = np.zeros(batch.num_rows, HEAD)
+            heads["doc_id"] = docs_.fill_null(NULL).to_numpy()
+            heads["piece"] = pieces_.to_numpy()
+            heads["n"] = pc.binary_length(ids_).to_numpy() // 2
+            for slot, head, ids in zip(slots.to_pylist(), heads, ids_):
+                if slot // per_shard != shard:
                     if n:
                         yield done()
-                    shard, first, n, held = own, slot, 0, bytearray(per_shard * size)
-                head = np.array([(NULL if doc is None else doc, piece, len(ids) // 2)], HEAD).tobytes()
-                held[n * size : n * size + len(head) + len(ids)] = head + ids
+                    shard, first, n, held = slot // per_shard, slot, 0, bytearray(per_shard * size)
+                record = head.tobytes() + ids.as_buffer().to_pybytes()
+                held[n * size : n * size + len(record)] = record
                 n += 1
         if n:
             yield done()
 
-    wide = rows.mapInArrow(number, "shard long, slot long, doc_id long, piece int, ids binary")
     n_shards = -(-total // per_shard)
-    parts = max(1, min(n_shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards // 32)))
-    ranged = wide.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
-    return ranged.mapInArrow(write, "shard long, first_slot long, n_slots long, payload binary")
+    parts = max(1, min(n_shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_shards // SHARDS_A_FILE))))
+    # slots are a permutation, so ranges of one width are of one size, and no sample has to find their bounds
+    numbered = rows.select(slot_of("range", "skip", "line").alias("slot"), "doc_id", "piece", "ids")
+    own_range = F.expr(f"cast(slot div {per_shard} * {parts} div {max(1, n_shards)} as int)")
+    ranged = numbered.repartitionById(parts, own_range).sortWithinPartitions("slot")
+    made = ranged.mapInArrow(write, "shard long, first_slot long, n_slots long, payload binary")
+    return staged(made, "shards", path, compression="zstd", maxRecordsPerFile=0)
 
 
 def read_slot(payload: bytes, slot: int, per_shard: int = PER_SHARD, length: int = tokens.LENGTH) -> tuple[int | None, int, np.ndarray]:
@@ -112,17 +141,27 @@ def read_slot(payload: bytes, slot: int, per_shard: int = PER_SHARD, length: int
     return (None if doc == NULL else doc), piece, np.frombuffer(payload, "<u2", n, at + HEAD.itemsize)
 
 
-def contents(made: DataFrame, per_shard: int = PER_SHARD, length: int = tokens.LENGTH) -> DataFrame:
-    """What shards hold, read back: one row a slot."""
+def contents(made: DataFrame, per_shard: int = PER_SHARD, length: int = tokens.LENGTH, first: int = 0) -> DataFrame:
+    """What shards hold from one slot on, read back: one row a slot. The scan skips files and row groups of
+    shards before it, so a run resumes where it stopped."""
+    size = stride(length)
+    asked = made.where(F.col("shard") >= first // per_shard)
+    places = F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)
+    record = lambda k: F.struct((F.col("first_slot") + k).alias("slot"), F.substring("payload", (k * size + 1).cast("int"), F.lit(size)).alias("record"))
+    records = asked.select(F.inline(F.transform(places, record))).where(F.col("slot") >= first)
 
     def read(batches):
         for batch in batches:
             rows = {k: [] for k in ("slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids_crc32")}
-            for shard, first, n, payload in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                for slot in range(first, first + n):
-                    doc, piece, ids = read_slot(payload, slot, per_shard, length)
-                    for k, v in zip(rows, (slot, shard, slot % per_shard * stride(length), doc, piece, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))):
-                        rows[k].append(v)
+            for slot, record in zip(batch.column(0).to_pylist(), batch.column(1)):
+                doc, piece, ids = read_slot(record.as_buffer(), 0, 1, length)
+                for k, v in zip(rows, (slot, slot // per_shard, slot % per_shard * size, doc, piece, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))):
+                    rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(k, pa.int32() if k == "piece" else pa.int64()) for k in rows]))
 
-    return made.mapInArrow(read, "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens long, ids_crc32 long")
+    return records.mapInArrow(read, "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens long, ids_crc32 long")
+
+
+def resumed(spark: SparkSession, path: str, first: int = 0, per_shard: int = PER_SHARD, length: int = tokens.LENGTH) -> DataFrame:
+    """contents() of shards written earlier."""
+    return contents(spark.read.parquet(path), per_shard, length, first)
