@@ -145,21 +145,20 @@ def contents(made: DataFrame, per_shard: int = PER_SHARD, length: int = tokens.L
     """What shards hold from one slot on, read back: one row a slot. The scan skips files and row groups of
     shards before it, so a run resumes where it stopped."""
     size = stride(length)
-    asked = made.where(F.col("shard") >= first // per_shard)
-    places = F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)
-    record = lambda k: F.struct((F.col("first_slot") + k).alias("slot"), F.substring("payload", (k * size + 1).cast("int"), F.lit(size)).alias("record"))
-    records = asked.select(F.inline(F.transform(places, record))).where(F.col("slot") >= first)
+    asked = made.where(F.col("shard") >= first // per_shard).select("first_slot", "payload")
+    schema = pa.schema([(c, pa.int32() if c == "piece" else pa.int64()) for c in ("slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids_crc32")])
+    record = np.dtype([*HEAD.descr, ("ids", "<u2", (length,))])
 
     def read(batches):
         for batch in batches:
-            rows = {k: [] for k in ("slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "ids_crc32")}
-            for slot, record in zip(batch.column(0).to_pylist(), batch.column(1)):
-                doc, piece, ids = read_slot(record.as_buffer(), 0, 1, length)
-                for k, v in zip(rows, (slot, slot // per_shard, slot % per_shard * size, doc, piece, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(k, pa.int32() if k == "piece" else pa.int64()) for k in rows]))
-
-    return records.mapInArrow(read, "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens long, ids_crc32 long")
+            for begin, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = np.frombuffer(payload.as_buffer(), record)[max(0, first - begin) :]
+                slot = np.arange(len(held)) + max(first, begin)
+                crc = [zlib.crc32(ids[:n].astype("<u4").tobytes()) for ids, n in zip(held["ids"], held["n"].tolist())]
+                doc = pa.array(held["doc_id"].astype(np.int64), mask=held["doc_id"] == NULL)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * size), doc, pa.array(held["piece"].astype(np.int32)), pa.array(held["n"].astype(np.int64)), pa.array(crc, pa.int64())], schema=schema)
+
+    return asked.mapInArrow(read, "slot long, shard long, byte_offset long, doc_id long, piece int, n_tokens long, ids_crc32 long")
 
 
 def resumed(spark: SparkSession, path: str, first: int = 0, per_shard: int = PER_SHARD, length: int = tokens.LENGTH) -> DataFrame:
