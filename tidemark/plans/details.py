@@ -115,14 +115,14 @@ def attachment_hash(t):
 
 
 #: How servers send a file name: as it is, with its references escaped twice, percent-encoded, or as bytes of an
-#: encoding read as Latin-1 (which only the first characters of a title are put through here).
-_TITLE = "regexp_replace(substr(text, 1, 40), '[^a-zA-Z0-9 ]', '_', 'g')"
+#: encoding read as Latin-1.
+_TITLE = "regexp_replace(text, '[^a-zA-Z0-9 ]', '_', 'g')"
 
 
 @query("filename_recover", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN {_TITLE} || '.hwp' WHEN 1 THEN {_TITLE} || '&.hwp' WHEN 2 THEN {_TITLE} || ' .hwp' WHEN 3 THEN {_TITLE} || '·.hwp' ELSE {_TITLE} || '공고문.hwp' END AS name FROM documents")
 def filename_recover(t):
     k = F.col("doc_id") % 5
-    title = F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z0-9 ]", "_")
+    title = F.regexp_replace("text", "[^a-zA-Z0-9 ]", "_")
     latin = F.decode(F.encode(F.lit("공고문"), "UTF-8"), "ISO-8859-1")
     end = F.when(k == 0, ".hwp").when(k == 1, "&amp;amp;.hwp").when(k == 2, "%20.hwp").when(k == 3, "·.hwp").otherwise(F.concat(latin, F.lit(".hwp")))
     return t("documents").select("doc_id", N.filename_recover(F.concat(title, end)).alias("name"))
@@ -131,7 +131,7 @@ def filename_recover(t):
 @query("content_disposition", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ltrim({_TITLE}) || '&b.hwp' WHEN 1 THEN '가' || doc_id || '.hwp' WHEN 2 THEN {_TITLE} || ';y.pdf' WHEN 3 THEN ltrim({_TITLE}) || '.txt' END AS name FROM documents")
 def content_disposition(t):
     k = F.col("doc_id") % 5
-    title = F.regexp_replace(F.substring("text", 1, 40), "[^a-zA-Z0-9 ]", "_")
+    title = F.regexp_replace("text", "[^a-zA-Z0-9 ]", "_")
     tail = (
         F.when(k == 0, F.concat(F.lit("filename="), title, F.lit("&amp;amp;b.hwp; size=10")))
         .when(k == 1, F.concat(F.lit("filename*=UTF-8''%EA%B0%80"), F.col("doc_id").cast("string"), F.lit(".hwp; filename=other")))
