@@ -74,12 +74,21 @@ def _resolved(piece: Column) -> Column:
     return let(number, lambda n: F.when(n != "", F.concat(_numbered(n), rest(n))).otherwise(other))
 
 
-def unescape(c: Column) -> Column:
-    """Every HTML5 reference decoded once, in the JVM; text without an ampersand is left as it is."""
+def _listed(piece: Column, only: tuple[str, ...]) -> Column:
+    """The same for references of these names alone, the longest first."""
+    text = F.concat(F.lit("&"), piece)
+    for name in sorted(only, key=len):
+        text = F.when(F.startswith(piece, F.lit(name)), F.concat(F.lit(html.entities.html5[name]), F.substring(piece, F.lit(len(name) + 1), F.length(piece)))).otherwise(text)
+    return text
+
+
+def unescape(c: Column, only: tuple[str, ...] = ()) -> Column:
+    """Every HTML5 reference decoded once, in the JVM; text without an ampersand is left as it is. With only,
+    the references of these names (as spelled after the ampersand) and no others."""
 
     def decoded(text: Column) -> Column:
         pieces = F.split(text, "&")
-        after = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _resolved)
+        after = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda piece: _listed(piece, only) if only else _resolved(piece))
         return F.when(F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(after, ""))).otherwise(text)
 
     return let(c, decoded)
@@ -90,8 +99,8 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
 
 
-def clean(c: Column) -> Column:
-    return squeeze(unescape(F.coalesce(c, F.lit(""))))
+def clean(c: Column, only: tuple[str, ...] = ()) -> Column:
+    return squeeze(unescape(F.coalesce(c, F.lit("")), only))
 
 
 def _iso(c: Column, pattern: str, century: str) -> Column:
