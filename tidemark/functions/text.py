@@ -142,10 +142,10 @@ def is_open(progress: Column, end: Column, today: Column) -> Column:
     return F.when(F.upper(F.coalesce(progress, F.lit(""))) == "N", F.lit(False)).otherwise(F.coalesce(F.try_to_date(norm_date(end, "api"), "yyyy-MM-dd") >= today, F.lit(True)))
 
 
-def strip_html(c: Column) -> Column:
-    """Scripts and styles dropped, tags to line breaks, entities decoded, blank lines collapsed."""
+def strip_html(c: Column, only: tuple[str, ...] = ()) -> Column:
+    """Scripts and styles dropped, tags to line breaks, entities (see unescape) decoded, blank lines collapsed."""
     c = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    c = unescape(F.regexp_replace(c, "<[^>]+>", "\n"))
+    c = unescape(F.regexp_replace(c, "<[^>]+>", "\n"), only)
     return F.regexp_replace(c, r"(?U)\n\s*\n+", "\n")
 
 
@@ -159,8 +159,8 @@ def body_slice(page: Column, starts: tuple[str, ...], ends: tuple[str, ...]) ->
     return F.when(stop.isNotNull(), F.substring(rest, F.lit(1), stop - 1)).otherwise(rest)
 
 
-def extract_body(page: Column, starts: tuple[str, ...], ends: tuple[str, ...]) -> Column:
-    return strip_html(body_slice(page, starts, ends))
+def extract_body(page: Column, starts: tuple[str, ...], ends: tuple[str, ...], only: tuple[str, ...] = ()) -> Column:
+    return strip_html(body_slice(page, starts, ends), only)
 
 
 def coalesce_pick(*columns: Column) -> Column:
