@@ -47,9 +47,9 @@ def first_cell(row: Column, test) -> Column:
     return F.coalesce(F.get(F.filter(cells(row), test), F.lit(0)), F.lit(""))
 
 
-def labelled(row: Column, pattern: str) -> Column:
-    """Group 1 of the first match, cleaned; else empty."""
-    return X.clean(F.regexp_extract(row, pattern, 1))
+def labelled(row: Column, pattern: str, only: tuple[str, ...] = ()) -> Column:
+    """Group 1 of the first match, cleaned (only: see X.unescape); else empty."""
+    return X.clean(F.regexp_extract(row, pattern, 1), only)
 
 
 def nonempty(values: Column, glue: str) -> Column:
